@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def word_hashes(text: Column) -> Column:
 
 def grams(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the distinct grams of all documents, sorted within each; ends of the documents)."""
-    n = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     h = _mix(words.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
     begin = np.cumsum(n) - n
     count = np.where(n >= N, n - N + 1, (n > 0).astype(np.int64))

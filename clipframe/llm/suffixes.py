@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,7 +220,7 @@ def _bucket(span: int):
         t = pa.Table.from_batches(held)
         raw = t["bytes"].combine_chunks()
         raw = raw if isinstance(raw, pa.Array) else raw.chunk(0)
-        size = pa.compute.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
         data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
         begin = np.cumsum(size) - size
         count = size - span + 1
