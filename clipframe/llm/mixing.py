@@ -106,15 +106,16 @@ def mix(
     last = edge.where("in").groupBy("__source").agg(F.max(F.struct("__key", "__id", "__mark")).alias("last"))
     small = common.stored(small.join(last.select(F.col("__source").alias("__t"), "last"), F.expr("__s <=> __t"), "left").drop("__t"), "lasts")
 
+    small = small.toDF(*[c if c.startswith("__") else f"__{c}" for c in small.columns])  # apart from any column of docs
     out = own.withColumn("__slot", slot)
     out = out.join(F.broadcast(small) if _few(small) else small, F.expr("__source <=> __s"), "left")
     at = F.struct(F.col("__key").alias("__key"), F.col(id_col).alias("__id"), F.xxhash64(text).alias("__mark"))
-    chosen = F.when(F.col("end_slot").isNull(), F.col("rest") > 0).otherwise((F.col("__slot") < F.col("end_slot")) | ((F.col("__slot") == F.col("end_slot")) & F.coalesce(at <= F.col("last"), F.lit(False))))
-    epochs = F.when(F.col("__size") > 0, F.col("epochs") + F.when(chosen, 1).otherwise(0)).otherwise(0)
+    chosen = F.when(F.col("__end_slot").isNull(), F.col("__rest") > 0).otherwise((F.col("__slot") < F.col("__end_slot")) | ((F.col("__slot") == F.col("__end_slot")) & F.coalesce(at <= F.col("__last"), F.lit(False))))
+    epochs = F.when(F.col("__size") > 0, F.col("__epochs") + F.when(chosen, 1).otherwise(0)).otherwise(0)
     results = {
         "size": F.col("__size"),
-        "source_size": F.col("source_size"),
-        "target": F.col("target"),
+        "source_size": F.col("__source_size"),
+        "target": F.col("__target"),
         "epochs": epochs.cast("bigint"),
         "taken": (epochs * F.col("__size")).cast("bigint"),
     }

@@ -97,7 +97,7 @@ def _sign(batches):
             begins = np.concatenate([[0], ends[:-1]])
             n = ends - begins
             band = bands(minhash(g, ends)).astype(np.uint64).view(np.int64)
-            sums = [np.concatenate([[0], np.cumsum(_mix(g + np.uint64(s)))]).astype(np.uint64) for s in (1, 2)]
+            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(g + np.uint64(s)))]) for s in (1, 2)]
             a, c = ((s[ends] - s[begins]).view(np.int64) for s in sums)
             keep = np.where(n > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(band[n > 0].reshape(-1)))
