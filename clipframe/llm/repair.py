@@ -53,56 +53,50 @@ class Grammar:
         return self.expand(self.sequence[a:b])[skip : skip + stop - start]
 
 
-def _pick(pairs: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-    """Sorted frequent pairs; of equally frequent ones the smaller come first."""
-    order = np.lexsort((pairs, -counts))[:most]
-    return np.sort(pairs[order])
+CELL_BITS = 19
 
 
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> Grammar:
     """Grammar of ``ids`` (all below ``base``).
 
-    Each round counts the pairs of neighbours (by hash first, exactly for those whose hash is frequent), gives
-    the most frequent ones a rule each and replaces them from left to right without overlap.
+    Each round hashes the pairs of neighbours to cells, counts in each cell the pair that wrote to it last (exactly:
+    other pairs of the cell are left for later rounds), gives the most frequent ones a rule each and replaces them
+    from left to right without overlap.
     """
     seq = np.ascontiguousarray(ids, np.uint32)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
-    top = base
+    top, cells = base, 1 << CELL_BITS
     for _ in range(rounds):
         if len(seq) < 2 * least:
             break
         pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        cell = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        count = np.bincount(cell, minlength=1 << 20)
+        cell = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - CELL_BITS)).astype(np.int32)
+        held = np.zeros(cells, np.uint64)
+        held[cell] = pair
+        same = held[cell] == pair
+        count = np.bincount(cell[same], minlength=cells)
         bound = max(least, int(np.partition(count, -rules_a_round)[-rules_a_round]))
-        often = count >= bound
-        found, n = np.unique(pair[often[cell]], return_counts=True)
-        found, n = found[n >= bound], n[n >= bound]
-        if not len(found):
-            break
-        chosen = _pick(found, n, rules_a_round)
-        hot = np.zeros(1 << 20, np.bool_)
-        hot[((chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)] = True
-        at = np.flatnonzero(hot[cell])
-        rank = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        good = chosen[rank] == pair[at]
-        at, rank = at[good], rank[good]
-        if not len(at):
+        chosen = np.flatnonzero(count >= bound)
+        chosen = chosen[np.lexsort((held[chosen], -count[chosen]))[:rules_a_round]]  # of equally frequent pairs the smaller
+        if not len(chosen):
             break
+        rule = np.full(cells, -1, np.int32)
+        rule[chosen] = np.arange(len(chosen))
+        same &= rule[cell] >= 0
+        at = np.flatnonzero(same)
         first = np.ones(len(at), np.bool_)  # of a run of overlapping pairs, every second is replaced
         first[1:] = np.diff(at) != 1
         run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run) % 2 == 0
-        at, rank = at[take], rank[take]
+        at = at[(np.arange(len(at)) - run) % 2 == 0]
         keep = np.ones(len(seq), np.bool_)
         keep[at + 1] = False
+        new = np.stack([held[chosen] >> np.uint64(32), held[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        own = Grammar(base, np.zeros((0, 2), np.uint32), lengths, seq)
+        lengths = np.concatenate([lengths, own.symbol_lengths(new[:, 0]) + own.symbol_lengths(new[:, 1])])
         seq = seq.copy()
-        seq[at] = (top + rank).astype(np.uint32)
+        seq[at] = (top + rule[cell[at]]).astype(np.uint32)
         seq = seq[keep]
-        new = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         rules.append(new)
-        own = Grammar(base, np.zeros((0, 2), np.uint32), lengths, seq)
-        lengths = np.concatenate([lengths, own.symbol_lengths(new[:, 0]) + own.symbol_lengths(new[:, 1])])
         top += len(chosen)
     return Grammar(base, np.concatenate(rules), lengths, seq)
 
