@@ -22,6 +22,8 @@ from . import common, pieces, repair
 SHARD_IDS = 2_000_000
 #: Stands between pieces that are encoded together; texts that hold it are encoded on their own.
 BETWEEN = "\ue000"
+#: Places of shards that may be broadcast: 24 MB.
+FEW_SHARDS = 1_000_000
 SHARD_SCHEMA = "part int, shard int, doc_ids array<long>, n_tokens array<long>, ids long, grammar binary"
 
 
@@ -135,7 +137,8 @@ def _with_before(spark: SparkSession, path: str) -> DataFrame:
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     before = shards.select("part", "shard", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("before"))
-    return shards.join(before, ["part", "shard"])
+    few = before.count() <= FEW_SHARDS
+    return shards.join(F.broadcast(before) if few else before, ["part", "shard"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
