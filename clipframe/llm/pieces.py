@@ -21,7 +21,7 @@ SETTLED = "\\x{0}-\\x{24F}\\x{2000}-\\x{206F}\\x{20A0}-\\x{20BF}\\x{4E00}-\\x{9F
 #: Distinct pieces a worker remembers before it starts afresh.
 REMEMBERED = 800_000
 #: Bytes of text that are put together at a time.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 10_000_000
 
 
 def with_pieces(df: DataFrame, pattern: str) -> DataFrame:
@@ -50,7 +50,8 @@ class PieceTable:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
+        self.start = np.zeros(1 << 14, np.int32)
+        self.size = np.zeros(1 << 14, np.int32)
         self.used = 0
 
     def _grow(self, name: str, need: int) -> None:
@@ -69,13 +70,15 @@ class PieceTable:
         if new:
             ids, lens = self.encode(new)
             n = len(number)
-            self._grow("start", n + len(new) + 1)
+            self._grow("start", n + len(new))
+            self._grow("size", n + len(new))
             self._grow("flat", self.used + len(ids))
-            self.start[n + 1 : n + len(new) + 1] = self.used + np.cumsum(lens)
+            self.size[n : n + len(new)] = lens
+            self.start[n : n + len(new)] = self.used + np.cumsum(lens) - lens
             self.flat[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
             number.update(zip(new, range(n, n + len(new))))
-        return np.fromiter((number[p] for p in pieces), np.int64, len(pieces))
+        return np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces))
 
     def ids(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text); a null list is an empty text."""
@@ -86,12 +89,12 @@ class PieceTable:
             return np.zeros(0, np.uint32), np.zeros(len(pieces), np.int64)
         coded = flat.dictionary_encode()
         row = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        begin = self.start[row]
-        size = self.start[row + 1] - begin
-        ends = np.zeros(len(row) + 1, np.int64)
+        size = self.size[row]
+        ends = np.zeros(len(row) + 1, np.int32 if len(row) < 1 << 24 else np.int64)
         np.cumsum(size, out=ends[1:])
-        out = self.flat[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
-        return out, np.diff(ends[offsets])
+        at = np.repeat(self.start[row] - ends[:-1], size)
+        at += np.arange(ends[-1], dtype=at.dtype)
+        return self.flat[at], np.diff(ends[offsets]).astype(np.int64)
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
