@@ -53,7 +53,7 @@ class Grammar:
         return self.expand(self.sequence[a:b])[skip : skip + stop - start]
 
 
-CELL_BITS = 19
+CELL_BITS = 18
 
 
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> Grammar:
@@ -61,17 +61,20 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: in
 
     Each round hashes the pairs of neighbours to cells, counts in each cell the pair that wrote to it last (exactly:
     other pairs of the cell are left for later rounds), gives the most frequent ones a rule each and replaces them
-    from left to right without overlap.
+    from left to right without overlap.  If all symbols fit 16 bits, pairs are 32 bits wide instead of 64.
     """
-    seq = np.ascontiguousarray(ids, np.uint32)
+    narrow = base + rounds * rules_a_round <= 1 << 16
+    symbol, wide, half = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
+    mixer = wide(0x9E3779B1 if narrow else 0x9E3779B97F4A7C15)
+    seq = np.ascontiguousarray(ids, symbol)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
     top, cells = base, 1 << CELL_BITS
     for _ in range(rounds):
         if len(seq) < 2 * least:
             break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        cell = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - CELL_BITS)).astype(np.int32)
-        held = np.zeros(cells, np.uint64)
+        pair = (seq[:-1].astype(wide) << wide(half)) | seq[1:]
+        cell = ((pair * mixer) >> wide(2 * half - CELL_BITS)).astype(np.int32)
+        held = np.zeros(cells, wide)
         held[cell] = pair
         same = held[cell] == pair
         count = np.bincount(cell[same], minlength=cells)
@@ -80,25 +83,26 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: in
         chosen = chosen[np.lexsort((held[chosen], -count[chosen]))[:rules_a_round]]  # of equally frequent pairs the smaller
         if not len(chosen):
             break
-        rule = np.full(cells, -1, np.int32)
-        rule[chosen] = np.arange(len(chosen))
-        same &= rule[cell] >= 0
-        at = np.flatnonzero(same)
+        hot = np.zeros(cells, np.bool_)
+        hot[chosen] = True
+        at = np.flatnonzero(same & hot[cell])
         first = np.ones(len(at), np.bool_)  # of a run of overlapping pairs, every second is replaced
         first[1:] = np.diff(at) != 1
         run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
         at = at[(np.arange(len(at)) - run) % 2 == 0]
         keep = np.ones(len(seq), np.bool_)
         keep[at + 1] = False
-        new = np.stack([held[chosen] >> np.uint64(32), held[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        new = np.stack([held[chosen] >> wide(half), held[chosen] & wide((1 << half) - 1)], 1).astype(np.uint32)
+        rule = np.zeros(cells, symbol)
+        rule[chosen] = np.arange(len(chosen)) + top
         own = Grammar(base, np.zeros((0, 2), np.uint32), lengths, seq)
         lengths = np.concatenate([lengths, own.symbol_lengths(new[:, 0]) + own.symbol_lengths(new[:, 1])])
         seq = seq.copy()
-        seq[at] = (top + rule[cell[at]]).astype(np.uint32)
+        seq[at] = rule[cell[at]]
         seq = seq[keep]
         rules.append(new)
         top += len(chosen)
-    return Grammar(base, np.concatenate(rules), lengths, seq)
+    return Grammar(base, np.concatenate(rules), lengths, seq.astype(np.uint32))
 
 
 def to_bytes(g: Grammar) -> bytes:

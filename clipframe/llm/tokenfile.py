@@ -104,9 +104,11 @@ def _write(path: str, end: int, base: int, shard_ids: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end: int = 2, base: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end: int = 2, base: int = 50_257, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> str:
     """Encode the texts, append ``end`` to each, and write them to ``path`` in ascending id order.
 
+    ``base`` is above all ids: grammar rules are numbered from it.
+
     One range shuffle of the texts puts them in order; encoding and compression follow in the same tasks.
     """
     spark = common.ship(docs.sparkSession)
