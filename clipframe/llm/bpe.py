@@ -147,20 +147,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _encode(path: str, pattern: str):
+def _encode(path: str):
     def run(batches):
         import regex
 
-        own, split = codec(path), regex.compile(pattern)
+        own, by_pattern = codec(path), regex.compile(pieces.PATTERN)
 
         def encode_text(text):
-            found = split.findall(text)
-            return own.table.ids(pa.array([found], pa.list_(pa.string())))[0]
+            found = by_pattern.findall(text)
+            return own.table.ids(pa.array(found, pa.string()), np.array([len(found)]))[0]
 
         for batch in batches:
             for b in pieces.slices(batch):
-                ids, lens = own.table.ids(b.column("pieces"))
-                ids, lens = pieces.merge_rests(ids, lens, b.column("rest"), encode_text)
+                ids, lens = own.table.texts(b.column("text"), encode_text)
                 decoded = own.decode(ids, lens)
                 ends = np.cumsum(lens).tolist()
                 raw = [ids[a:e].astype("<u4").tobytes() for a, e in zip([0, *ends], ends)]
@@ -169,8 +168,8 @@ def _encode(path: str, pattern: str):
     return run
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 32 bits each), ids_sha256 and decoded_sha256 of each row.  No shuffle."""
     common.ship(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return pieces.with_pieces(d, pattern).mapInArrow(_encode(ranks, pattern), SCHEMA)
+    return d.mapInArrow(_encode(ranks), SCHEMA)

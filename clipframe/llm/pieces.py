@@ -1,37 +1,94 @@
 """Splitting texts into the pieces that byte-level BPE merges within, and putting piece ids together.
 
-The split runs in the JVM; Python sees Arrow lists of pieces, looks up each distinct piece once
-and gathers the ids of whole documents with numpy.
+A slice of texts is split at once by numpy: code points get a class from a table, and where classes change decides
+where pieces begin.  Each distinct piece is looked up once, and the ids of whole documents are gathered.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Code points whose letter, number and space properties do not differ between the Unicode versions
-#: of Java and of the tokenizer libraries.  Texts with others are split in Python.
-SETTLED = "\\x{0}-\\x{24F}\\x{2000}-\\x{206F}\\x{20A0}-\\x{20BF}\\x{4E00}-\\x{9FA5}"
+#: The pattern that split() follows: contractions, then runs of letters, numbers and others that take one space
+#: before them, then white space, of which the last character before other text stands alone.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Code points whose letter, number and space properties do not differ between Unicode versions; texts with others go
+#: to the libraries whole.
+SETTLED = ((0x0, 0x24F), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x4E00, 0x9FA5))
+LETTER, NUMBER, OTHER, SPACE, UNSETTLED = range(5)
 #: Distinct pieces a worker remembers before it starts afresh.
 REMEMBERED = 800_000
-#: Bytes of text that are put together at a time.
-SLICE_BYTES = 10_000_000
+#: Bytes of text that are put together at a time; a text is never cut.
+SLICE_BYTES = 8_000_000
 
 
-def with_pieces(df: DataFrame, pattern: str) -> DataFrame:
-    """Add ``pieces`` (the matches of ``pattern``) and ``rest`` (the text where the JVM must not split it, else null).
+@functools.cache
+def classes() -> np.ndarray:
+    """Class of every code point."""
+    import regex
 
-    ``df`` has a column ``text``, which is replaced.  Null texts count as empty.
+    out = np.full(0x110000, UNSETTLED, np.uint8)
+    for a, b in SETTLED:
+        chars = "".join(map(chr, range(a, b + 1)))
+        out[a : b + 1] = OTHER
+        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+            out[[ord(c) for c in regex.findall(pattern, chars)]] = kind
+    return out
+
+
+def split(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """(pieces of all texts, number of each text's pieces, which texts have unsettled code points).
+
+    Texts with unsettled code points have no pieces; null texts are empty.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    odd = text.rlike(f"[^{SETTLED}]")
-    return df.withColumn("pieces", F.when(~odd, F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(0)))).withColumn("rest", F.when(odd, text)).drop("text")
+    texts = pc.fill_null(texts, "")
+    n = len(texts)
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
+    data = b"".join(texts.cast(pa.binary()).to_pylist())
+    raw = np.frombuffer(data, np.uint8)
+    lead = (raw & 0xC0) != 0x80
+    place = np.flatnonzero(lead).astype(np.int32)  # byte of each code point
+    cp = np.frombuffer(data.decode().encode("utf-32-le"), "<u4")
+    kind = classes()[cp]
+    m = len(cp)
+    first = np.searchsorted(place, ends[:-1])  # code point at which each text begins
+    odd = np.zeros(n, np.bool_)
+    if (kind == UNSETTLED).any():
+        odd[np.searchsorted(first, np.flatnonzero(kind == UNSETTLED), "right") - 1] = True
+    new = np.zeros(m + 4, np.bool_)  # where a text begins; beyond the end everything does
+    new[first[first < m]] = True
+    new[m:] = True
+    begin = new.copy()
+    begin[1:m] |= kind[1:] != kind[:-1]
+    after = np.flatnonzero(begin[1:m] & ~new[1:m] & (kind[1:] != SPACE) & (kind[:-1] == SPACE)) + 1
+    begin[after - 1] = True
+    begin[after[cp[after - 1] == 32]] = False
+    mark = np.flatnonzero((cp == 39) & begin[:m])
+    mark = mark[~new[mark + 1]]
+    mark = mark[kind[mark + 1] == LETTER]
+    one = mark[np.isin(cp[mark + 1], [ord(c) for c in "stmd"])]
+    two = mark[~new[mark + 2]]
+    two = two[np.isin(cp[two + 1] * 256 + cp[two + 2], [ord(a) * 256 + ord(b) for a, b in ("re", "ve", "ll")])]
+    begin[one + 1] = False
+    begin[one + 2] = True
+    begin[two + 1] = False
+    begin[two + 3] = True
+    at = np.flatnonzero(begin[:m])
+    text = np.searchsorted(first, at, "right") - 1
+    count = np.bincount(text, minlength=n)
+    stops = np.append(place[at[1:]], len(raw)) if len(at) else at
+    if odd.any():
+        keep = ~odd[text]
+        count[odd] = 0
+        parts = [data[a:b] for a, b in zip(place[at[keep]], stops[keep])]
+        return pa.array(parts, pa.binary()).cast(pa.string()), count, odd
+    offsets = np.append(place[at], len(raw)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)), count, odd
 
 
 def rank_file(path: str) -> dict[bytes, int]:
@@ -80,47 +137,37 @@ class PieceTable:
             number.update(zip(new, range(n, n + len(new))))
         return np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces))
 
-    def ids(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each text); a null list is an empty text."""
-        flat = pieces.flatten()
-        offsets = np.zeros(len(pieces) + 1, np.int64)
-        np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False), out=offsets[1:])
-        if not len(flat):
-            return np.zeros(0, np.uint32), np.zeros(len(pieces), np.int64)
-        coded = flat.dictionary_encode()
+    def ids(self, pieces: pa.StringArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each text) for texts of ``counts`` pieces each."""
+        if not len(pieces):
+            return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
+        coded = pieces.dictionary_encode()
         row = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
         size = self.size[row]
         ends = np.zeros(len(row) + 1, np.int32 if len(row) < 1 << 24 else np.int64)
         np.cumsum(size, out=ends[1:])
         at = np.repeat(self.start[row] - ends[:-1], size)
         at += np.arange(ends[-1], dtype=at.dtype)
-        return self.flat[at], np.diff(ends[offsets]).astype(np.int64)
+        return self.flat[at], np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]).astype(np.int64)
+
+    def texts(self, texts: pa.StringArray, encode_text: Callable[[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts; ``encode_text`` takes those with unsettled code points."""
+        pieces, counts, odd = split(texts)
+        ids, lens = self.ids(pieces, counts)
+        if not odd.any():
+            return ids, lens
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        parts = [encode_text(t.as_py()) if o else ids[a:b] for t, o, a, b in zip(texts, odd, ends, ends[1:])]
+        return np.concatenate(parts).astype(np.uint32), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with a bounded amount of text each; a row is never cut."""
+    """Parts of a batch with a bounded amount of ``text`` each; a row is never cut."""
     n = batch.num_rows
     if not n:
         return
-    pieces, rest = batch.column("pieces"), batch.column("rest")
-    size = np.zeros(n, np.int64)
-    flat = pieces.flatten()
-    if len(flat):
-        lens = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 4)])
-        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        size += np.diff(lens[ends])
-    size += pc.fill_null(pc.binary_length(rest), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(size) // SLICE_BYTES
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    part = size // SLICE_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
-def merge_rests(ids: np.ndarray, lens: np.ndarray, rest: pa.Array, encode_text: Callable[[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Put the ids of the texts in ``rest`` where their rows are; they have none in ``ids`` yet."""
-    if rest.null_count == len(rest):
-        return ids, lens
-    ends = np.concatenate([[0], np.cumsum(lens)])
-    parts = [ids[ends[i] : ends[i + 1]] if t is None else encode_text(t) for i, t in enumerate(rest.to_pylist())]
-    return np.concatenate(parts).astype(np.uint32), np.fromiter(map(len, parts), np.int64, len(parts))
+        yield batch.slice(a, b - a)

@@ -24,12 +24,6 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -41,7 +35,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_folder(spark)}/tokens"
-    tokenfile.write_tokens(documents(spark, sf_dir), path, tokenizer_file("byte_bpe_50k.json"), pattern(), END)
+    tokenfile.write_tokens(documents(spark, sf_dir), path, tokenizer_file("byte_bpe_50k.json"), END)
     return tokenfile.read_documents(spark, path)
 
 
@@ -58,7 +52,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_folder(spark)}/flat"
-    separators.write_flat(documents(spark, sf_dir), path, tokenizer_file("byte_bpe_50k.json"), pattern(), END_OF_TEXT)
+    separators.write_flat(documents(spark, sf_dir), path, tokenizer_file("byte_bpe_50k.json"), END_OF_TEXT)
     return separators.count_documents(spark, path, END_OF_TEXT).select("doc_id", "n_tokens")
 
 
@@ -80,7 +74,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe.encode_decode(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), pattern())
+    found = bpe.encode_decode(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"))
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -30,7 +30,7 @@ def _flat(path: str, end: int, block_ids: int):
 
         for batch in batches:
             for b in pieces.slices(batch):
-                ids = tokenfile._with_end(*tokenfile.encoded(b, path), end)
+                ids = tokenfile._with_end(*tokenfile.encoded(b.column("text"), path), end)
                 yield row("names", names, ids=b.column("doc_id").to_pylist())
                 names += 1
                 held.append(ids)
@@ -48,13 +48,13 @@ def _flat(path: str, end: int, block_ids: int):
     return run
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, pattern: str, end: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> str:
+def write_flat(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> str:
     """Encode the texts in ascending id order to flat files under ``path``/kind=ids; the doc ids, in order, to kind=names."""
     spark = common.ship(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
-    rows = pieces.with_pieces(d, pattern).mapInArrow(_flat(tokenizer, end, block_ids), SCHEMA)
+    rows = d.mapInArrow(_flat(tokenizer, end, block_ids), SCHEMA)
     rows.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     return path
 

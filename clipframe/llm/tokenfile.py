@@ -61,10 +61,9 @@ def text_encoder(path: str):
     return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def encoded(batch: pa.RecordBatch, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts of a batch, and the number of each text's ids."""
-    ids, lens = piece_table(path).ids(batch.column("pieces"))
-    return pieces.merge_rests(ids, lens, batch.column("rest"), text_encoder(path))
+def encoded(texts: pa.StringArray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, and the number of each text's ids."""
+    return piece_table(path).texts(texts, text_encoder(path))
 
 
 def _with_end(ids: np.ndarray, lens: np.ndarray, end: int) -> np.ndarray:
@@ -91,7 +90,7 @@ def _write(path: str, end: int, base: int, shard_ids: int):
 
         for batch in batches:
             for b in pieces.slices(batch):
-                own, lens = encoded(b, path)
+                own, lens = encoded(b.column("text"), path)
                 docs.append(b.column("doc_id").to_pylist())
                 counts.append(lens + 1)
                 ids.append(_with_end(own, lens, end))
@@ -104,7 +103,7 @@ def _write(path: str, end: int, base: int, shard_ids: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end: int = 2, base: int = 50_257, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, base: int = 50_257, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> str:
     """Encode the texts, append ``end`` to each, and write them to ``path`` in ascending id order.
 
     ``base`` is above all ids: grammar rules are numbered from it.
@@ -115,7 +114,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end:
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
-    shards = pieces.with_pieces(d, pattern).mapInArrow(_write(tokenizer, end, base, shard_ids), SHARD_SCHEMA)
+    shards = d.mapInArrow(_write(tokenizer, end, base, shard_ids), SHARD_SCHEMA)
     shards.write.option("compression", "zstd").parquet(path)
     return path
 

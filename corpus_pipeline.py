@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipframe.llm import bpe, common, linededup, mixing, ngramjoin, quality
-from clipframe.llm.queries import documents, pattern, tokenizer_file
+from clipframe.llm.queries import documents, tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and digests of them and of what they decode to."""
-    return bpe.encode_decode(docs, tokenizer_file("byte_bpe_50k.tiktoken"), pattern())
+    return bpe.encode_decode(docs, tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
