@@ -151,7 +151,7 @@ def midi_to_svara_h(midi: Column, sa: Column, abbr: bool = True, unicode: bool =
     name = F.element_at(_strings(SVARA_H[0 if abbr else 1]), (F.pmod(step, F.lit(12)) + 1).cast("int"))
     octave = F.floor(step / F.lit(12.0)).cast("int")
     mark = (lambda sign, dot, n: F.repeat(F.lit(dot), n)) if unicode else (lambda sign, dot, n: F.concat(F.lit(sign), n.cast("string")))
-    return F.when(octave < 0, F.concat(name, mark("_", "̣", -octave))).when(octave > 0, F.concat(name, mark("^", "̇", octave))).otherwise(name)
+    return F.when(octave < 0, F.concat(name, mark("_", "\u0323", -octave))).when(octave > 0, F.concat(name, mark("^", "\u0307", octave))).otherwise(name)
 
 
 def midi_to_svara_c(midi: Column, sa: Column, mela: int, abbr: bool = True, octave: bool = True, unicode: bool = True) -> Column:
@@ -167,7 +167,7 @@ def midi_to_svara_c(midi: Column, sa: Column, mela: int, abbr: bool = True, octa
     def mark(dot, sign):
         return F.concat(F.substring(name, 1, 1), F.lit(dot), F.substring(name, 2, 99)) if unicode else F.concat(name, F.lit(sign))
 
-    return F.when(step.between(12, 23), mark("̇", "'")).when(step.between(-12, -1), mark("̣", ",")).otherwise(name)
+    return F.when(step.between(12, 23), mark("\u0307", "'")).when(step.between(-12, -1), mark("\u0323", ",")).otherwise(name)
 
 
 def _rounded_midi(f: Column) -> Column:

@@ -43,11 +43,11 @@ def preemphasis(blocks: DataFrame, coef: float = 0.97) -> DataFrame:
 
 def windowed_energy(events: DataFrame, window: str, slide: str, late: str) -> DataFrame:
     """(user_id, start, rms) over sliding event-time windows; events later than ``late`` are left out."""
-    w = events.withWatermark("ts", late).groupBy("user_id", F.window("ts", window, slide).alias("w"))
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id", F.window("ts", window, slide).alias("w"))
     return w.agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms")).select("user_id", F.col("w.start").alias("start"), "rms")
 
 
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     """(user_id, start, stop, n): runs of events that are less than ``gap`` apart."""
-    s = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    s = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
