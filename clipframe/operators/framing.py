@@ -44,6 +44,11 @@ def rms(samples: DataFrame) -> DataFrame:
     return samples.groupBy("clip_id").agg(F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("x"))
 
 
+def rms_matrix(channels: DataFrame) -> DataFrame:
+    """(clip_id, ch, x) of (clip_id, ch, n, y)."""
+    return channels.groupBy("clip_id", "ch").agg(F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("x"))
+
+
 def zero_crossing_rate_frames(samples: DataFrame, frame_length: int, hop_length: int) -> DataFrame:
     """Sign changes within each uncentred frame; zero counts as positive.
 
@@ -94,6 +99,10 @@ def valid_audio(samples: DataFrame) -> DataFrame:
     return samples.withColumn("y", F.when(ok, F.col("y")).otherwise(F.raise_error(F.lit("a sample is not finite")).cast("double")))
 
 
+def valid_audio_2d(channels: DataFrame) -> DataFrame:
+    return valid_audio(channels)
+
+
 def to_mono(channels: DataFrame) -> DataFrame:
     """Mean over channels of (clip_id, ch, n, y)."""
     return channels.groupBy("clip_id", "n").agg(F.avg("y").alias("y"))

@@ -137,6 +137,13 @@ def localmin(samples: DataFrame) -> DataFrame:
     return samples.select("clip_id", "n", F.coalesce(low, F.lit(False)).alias("is_min"))
 
 
+def localmin_2d(feat: DataFrame, axis: str = "t") -> DataFrame:
+    """(clip_id, t, k, is_min) along time or bins; a single place is none."""
+    order = Window.partitionBy("clip_id", "k" if axis == "t" else "t").orderBy(axis)
+    low = (F.col("x") < F.lag("x").over(order)) & F.coalesce(F.col("x") <= F.lead("x").over(order), F.lit(True))
+    return feat.select("clip_id", "t", "k", F.coalesce(low, F.lit(False)).alias("is_min"))
+
+
 def peak_candidates(samples: DataFrame, pre_max: int, post_max: int, pre_avg: int, post_avg: int, delta: float) -> DataFrame:
     """(clip_id, n) of strict maxima of their window that exceed the mean of their neighbours by delta (no waiting)."""
     order = Window.partitionBy("clip_id").orderBy("n")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import scales, theory, timing
+from .functions import arrays, generate, scales, theory, timing
 from .operators import framing, kernel, matrix, rhythm, spectral
 from .plans import bases, transitions, windows
 from .sources import adapters
@@ -264,6 +264,30 @@ query(
     f"WITH {SPEC}, wd AS (SELECT *, max(x) OVER (PARTITION BY clip_id, t ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS w FROM mg), ri AS (SELECT clip_id, t AS n, greatest(x - lag(w) OVER (PARTITION BY clip_id, k ORDER BY t), 0) AS r FROM wd) SELECT clip_id, n, round(coalesce(sum(CASE WHEN n > 0 THEN r ELSE 0 END), 0), 4) + 0.0 AS y FROM ri GROUP BY 1, 2",
 )(lambda s, d: rhythm.superflux(magnitudes(s, d)))
 
+query("localmin_2d", f"WITH {M}, w AS (SELECT *, lag(x) OVER o AS a, lead(x) OVER o AS b FROM m WINDOW o AS (PARTITION BY clip_id, t ORDER BY k)) SELECT clip_id, t, k, coalesce(x < a, false) AND coalesce(x <= b, true) AS is_min FROM w")(lambda s, d: rhythm.localmin_2d(feat(s, d), "k"))
+query("rms_matrix", f"WITH {S} SELECT clip_id, (n % 2)::INT AS ch, round(sqrt(avg(y * y)), 4) + 0.0 AS x FROM s GROUP BY 1, 2")(lambda s, d: framing.rms_matrix(samples(s, d).withColumn("ch", (F.col("n") % 2).cast("int"))))
+query("tone", "SELECT 0::BIGINT AS clip_id, i AS n, round(sin(2 * pi() * 440 * i / 22050), 4) + 0.0 AS y FROM range(0, 11025) r(i)")(lambda s, d: generate.tone(s, 440.0, 22050, 0.5))
+query("chirp", "SELECT 0::BIGINT AS clip_id, i AS n, round(sin(2 * pi() * 100 * (exp(ln(10) / 0.5 * i / 22050) - 1) / (ln(10) / 0.5)), 4) + 0.0 AS y FROM range(0, 11025) r(i)")(lambda s, d: generate.chirp(s, 100.0, 1000.0, 22050, 0.5))
+query("chirp_linear", "SELECT 0::BIGINT AS clip_id, i AS n, round(sin(2 * pi() * (100.0 * i / 22050 + 900 * (i / 22050.0) * (i / 22050.0))), 4) + 0.0 AS y FROM range(0, 11025) r(i)")(lambda s, d: generate.chirp(s, 100.0, 1000.0, 22050, 0.5, True))
+query(
+    "clicks",
+    "WITH h AS (SELECT floor(t * 1000)::BIGINT + i AS n, sin(2 * pi() * 100 * i / 1000) * exp(-i / 5.0) AS y FROM (VALUES (0.0), (0.5), (0.52)) v(t), range(0, 50) r(i)) SELECT 0::BIGINT AS clip_id, g AS n, round(coalesce(sum(y), 0), 4) + 0.0 AS y FROM range(0, 1000) q(g) LEFT JOIN h ON h.n = g GROUP BY g",
+)(lambda s, d: generate.clicks(s.createDataFrame([(0, 0.0), (0, 0.5), (0, 0.52)], "clip_id long, time double"), 1000, 1000, 0.05, 100.0))
+query(
+    "pad_center",
+    "SELECT label, i::INT AS i, round(CASE WHEN i BETWEEN 3 AND 66 THEN embedding[i - 2]::DOUBLE ELSE 0 END, 4) + 0.0 AS x FROM embeddings, range(0, 70) r(i) WHERE vec_id < 40",
+)(lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 40").select("label", F.posexplode(arrays.pad_center(F.col("embedding").cast("array<double>"), 70)).alias("i", "x")))
+query(
+    "fix_length",
+    "SELECT label, i::INT AS i, round(CASE WHEN i < 64 THEN embedding[i + 1]::DOUBLE ELSE 0 END, 4) + 0.0 AS x FROM embeddings, range(0, 70) r(i) WHERE vec_id < 40",
+)(lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 40").select("label", F.posexplode(arrays.fix_length(F.col("embedding").cast("array<double>"), 70)).alias("i", "x")))
+query(
+    "frame_array",
+    "SELECT label, t::INT AS t, i::INT AS i, round(embedding[t * 8 + i + 1]::DOUBLE, 4) + 0.0 AS x FROM embeddings, range(0, 7) a(t), range(0, 16) b(i) WHERE vec_id < 40",
+)(
+    lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 40").select("label", F.posexplode(arrays.frame_array(F.col("embedding").cast("array<double>"), 16, 8)).alias("t", "f")).select("label", "t", F.posexplode("f").alias("i", "x"))
+)
+
 # ---- scalar conversions: events.value as Hz
 
 

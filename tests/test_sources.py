@@ -123,3 +123,17 @@ def test_event_windows(spark):
     run(filters.windowed_energy(events, "1 hour", "30 minutes", "1 hour"), "energy")
     run(filters.sessions(events, "2 hours", "1 hour"), "visits")
     assert spark.sql("SELECT count(*) AS n FROM energy").first()["n"] > 0 and spark.sql("SELECT sum(n) AS n FROM visits").first()["n"] > 0
+
+
+def test_wav_stream(spark, tmp_path):
+    from clipframe.streaming.wav_source import WavBlocks
+
+    (tmp_path / "a.wav").write_bytes(wav.encode_wav(TONE, 8000))
+    spark.dataSource.register(WavBlocks)
+    blocks = spark.readStream.format("wav_blocks").option("path", str(tmp_path / "a.wav")).option("chunk_size", 1500).load()
+    q = blocks.writeStream.format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "state")).start()
+    for _ in range(6):
+        q.processAllAvailable()
+    q.stop()
+    rows = spark.sql("SELECT chunk, size(samples[0]) AS n FROM chunks ORDER BY chunk").collect()
+    assert [(r["chunk"], r["n"]) for r in rows] == [(0, 1500), (1, 1500), (2, 1000)]
