@@ -110,7 +110,11 @@ def anchors(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _marks(span: int):
-    """Rows (doc, mark, at, lo, hi, lead hash, whole hash) of all anchors."""
+    """Rows of all anchors, with hashes of what follows them (lead) and of all their strings (whole).
+
+    Wholes that repeat within a batch are settled here: one row of each goes on as known to repeat (state 1), the others
+    are spread over the partitions as they are (state 2), so that a text with very many copies is no hot key.
+    """
 
     def run(batches):
         for batch in batches:
@@ -128,35 +132,45 @@ def _marks(span: int):
                         c.append(v)
                 if doc:
                     at, lo, hi, lead, whole = map(np.concatenate, cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(mark)), pa.array(at.astype(np.int32)), pa.array((at - lo).astype(np.int16)), pa.array((hi - lo).astype(np.int32)), pa.array(lead), pa.array(whole)], names=["doc", "mark", "at", "back", "more", "lead", "whole"])
+                    _, first, number, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+                    state = np.where(count[number] > 1, 2, 0).astype(np.int8)
+                    state[first] = np.where(count > 1, 1, 0)
+                    spread = _mix(whole.view(np.uint64) + np.arange(len(at), dtype=np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(mark)), pa.array(at.astype(np.int32)), pa.array((at - lo).astype(np.int16)), pa.array((hi - lo).astype(np.int32)), pa.array(np.where(state == 2, spread, lead)), pa.array(whole), pa.array(state)], names=["doc", "mark", "at", "back", "more", "lead", "whole", "state"])
 
     return run
 
 
-_MARK = "doc long, mark long, at int, back short, more int, lead long, whole long"
+_MARK = "doc long, mark long, at int, back short, more int, lead long, whole long, state byte"
 _SORTED = "doc long, mark long, at int, back short, more int, sure boolean"
 
 
 def _decide(batches):
     """Anchors with equal leads are in one partition: drop those whose lead occurs once, settle those whose whole repeats.
 
-    Of each whole that repeats, one anchor also goes on to the edges (sure is null), as others may share part of it.
+    Of each whole whose lead has others, one anchor goes on to the edges (sure is false), as they may share part of it.
     """
-    t = pa.Table.from_batches(list(batches), schema=pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.int32()), ("back", pa.int16()), ("more", pa.int32()), ("lead", pa.int64()), ("whole", pa.int64())]))
+    kinds = [("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.int32()), ("back", pa.int16()), ("more", pa.int32()), ("lead", pa.int64()), ("whole", pa.int64()), ("state", pa.int8())]
+    t = pa.Table.from_batches(list(batches), schema=pa.schema(kinds))
+    settled = pc.equal(t["state"], 2)
+
+    def rows(t, sure):
+        yield from t.select(["doc", "mark", "at", "back", "more"]).append_column("sure", pa.array(np.full(t.num_rows, sure))).to_batches(20_000)
+
+    yield from rows(t.filter(settled), True)
+    t = t.filter(pc.invert(settled))
     if not t.num_rows:
         return
-    lead, whole = t["lead"].to_numpy(), t["whole"].to_numpy()
+    lead, whole, known = t["lead"].to_numpy(), t["whole"].to_numpy(), t["state"].to_numpy()
     order = np.lexsort((whole, lead))
-    lead, whole = lead[order], whole[order]
+    lead, whole, known = lead[order], whole[order], known[order].astype(np.int64)
     new_lead = np.concatenate([[True], lead[1:] != lead[:-1]])
     new_whole = new_lead | np.concatenate([[True], whole[1:] != whole[:-1]])
-    per_lead = np.bincount(np.cumsum(new_lead) - 1)[np.cumsum(new_lead) - 1]
-    per_whole = np.bincount(np.cumsum(new_whole) - 1)[np.cumsum(new_whole) - 1]
-    wholes = np.add.reduceat(new_whole.astype(np.int64), np.flatnonzero(new_lead))[np.cumsum(new_lead) - 1]
-    for keep, sure in ((per_whole > 1, True), ((per_lead > 1) & (wholes > 1) & new_whole, False)):
-        rows = t.take(pa.array(order[keep])).select(["doc", "mark", "at", "back", "more"])
-        for b in rows.append_column("sure", pa.array(np.full(rows.num_rows, sure))).to_batches(20_000):
-            yield b
+    of_lead, of_whole = np.cumsum(new_lead) - 1, np.cumsum(new_whole) - 1
+    repeats = (np.bincount(of_whole) + np.add.reduceat(known, np.flatnonzero(new_whole)))[of_whole] > 1
+    wholes = np.bincount(of_lead, weights=new_whole)[of_lead]  # two wholes of one lead may share strings
+    yield from rows(t.take(pa.array(order[repeats])), True)
+    yield from rows(t.take(pa.array(order[(wholes > 1) & new_whole])), False)
 
 
 def _suffix_rows(span: int):
