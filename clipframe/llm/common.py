@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,6 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="clipframe-")
         spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     folder = f"{base.rstrip('/')}/clipframe-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, folder)
     return folder
