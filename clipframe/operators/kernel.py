@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..kernels import rhythm, sequences, signal, tonal
+from ..kernels import image, rhythm, sequences, signal, tonal
+
+__all__ = ["beat_track", "chroma_cqt", "cqt", "dtw", "feat_of_frames", "hpss", "image", "istft", "matrices_of_feat", "melspectrogram", "mfcc", "over_matrices", "over_pairs", "over_signals", "pyin", "rhythm", "sequences", "signal", "stft", "tonal", "yin"]
 
 FRAMES = "clip_id long, t long, v array<double>"
 SPECTRUM = "clip_id long, t long, re array<double>, im array<double>"

@@ -482,6 +482,65 @@ query("kernel_beat_track", f"{ORACLES['beat_track'].replace('SELECT clip_id, bea
 query("kernel_cqt")(lambda s, d: kernel.cqt(adapters.signals(samples(s, d), SR), hop_length=16, fmin=20.0, n_bins=12))
 
 
+K, T, RH, SQ = kernel.signal, kernel.tonal, kernel.rhythm, kernel.sequences
+SHORT = K.StftConfig.of(N, HOP)
+#: Kernels on signals: name, kind of result, kernel.
+ON_SIGNALS = (
+    ("griffinlim", "signal", lambda y, sr: K.griffinlim(np.abs(K.stft(y, SHORT)), SHORT, 4)),
+    ("kernel_istft", "signal", lambda y, sr: K.istft(K.stft(y, SHORT), SHORT)),
+    ("reassigned_spectrogram", "frames", lambda y, sr: K.reassigned_spectrogram(y, SHORT)[2]),
+    ("fmt", "spectrum", lambda y, sr: K.fmt(y)[:, None]),
+    ("iirt", "frames", lambda y, sr: K.iirt(y, sr, 32, 8, fmin=100.0, fmax=400.0)),
+    ("sosfiltfilt", "signal", lambda y, sr: K.sosfiltfilt(bases.sos_bandpass(100.0, 50.0, sr, 2), y)),
+    ("filtfilt", "signal", lambda y, sr: K.filtfilt(bases.bandpass(100.0, 50.0, sr), y)),
+    ("lpc", "frames", lambda y, sr: K.lpc(y, 4)[:, None]),
+    ("resample", "signal", lambda y, sr: K.resample(y, sr, sr // 2)),
+    ("time_stretch", "signal", lambda y, sr: K.time_stretch(y, 1.25, N, HOP)),
+    ("pitch_shift", "signal", lambda y, sr: K.pitch_shift(y, sr, 2.0, N, HOP)),
+    ("phase_vocoder", "spectrum", lambda y, sr: K.phase_vocoder(K.stft(y, SHORT), 1.5, HOP)),
+    ("hpss", "spectrum", lambda y, sr: K.hpss(K.stft(y, SHORT), (5, 5))[0]),
+    ("harmonic", "spectrum", lambda y, sr: K.harmonic(K.stft(y, SHORT), 5)),
+    ("percussive", "spectrum", lambda y, sr: K.percussive(K.stft(y, SHORT), 5)),
+    ("vqt", "spectrum", lambda y, sr: T.vqt(y, sr, 16, 20.0, 12, 12, 0.0, 1.0, 5.0)),
+    ("pseudo_cqt", "spectrum", lambda y, sr: T.pseudo_cqt(y, sr, 16, 20.0, 12)),
+    ("icqt", "signal", lambda y, sr: T.icqt(T.cqt(y, sr, 16, 20.0, 12), sr, 16, 20.0, 12, 2)),
+    ("griffinlim_cqt", "signal", lambda y, sr: T.griffinlim_cqt(np.abs(T.cqt(y, sr, 16, 20.0, 12)), sr, 16, 20.0, 12, 2)),
+    ("mel_to_audio", "signal", lambda y, sr: T.mel_to_audio(T.mel_power(y, sr, N, HOP, MELS), sr, N, HOP, n_iter=2)),
+    ("mfcc_to_audio", "signal", lambda y, sr: T.mfcc_to_audio(T.mfcc(y, sr, 4, N, HOP, MELS), MELS, sr, N, HOP, n_iter=2)),
+    ("chroma_cqt", "frames", lambda y, sr: T.chroma_cqt(y, sr, 16, 20.0, 12, 3, 12)),
+    ("chroma_cens", "frames", lambda y, sr: T.chroma_cens(y, sr, 16, 20.0, 12, 3, 12, win_len_smooth=5)),
+    ("chroma_vqt", "frames", lambda y, sr: T.chroma_vqt(y, sr, 16, 20.0, 3, 12, 0.0, 2.0)),
+    ("pyin", "frames", lambda y, sr: np.nan_to_num(np.stack([np.asarray(a, float) for a in T.pyin(y, sr, 50.0, 400.0, 32, 16)]))),
+    ("estimate_tuning", "scalar", lambda y, sr: T.estimate_tuning(y, sr, N)),
+    ("estimate_tuning_cents", "scalar", lambda y, sr: T.estimate_tuning_cents(T.chroma_stft(y, sr, N, HOP))),
+    ("fourier_tempogram", "frames", lambda y, sr: RH.fourier_tempogram(y, 12)),
+    ("plp", "signal", lambda y, sr: RH.plp(y, 10, y, 1, 12)),
+    ("peak_pick", "marks", lambda y, sr: RH.peak_pick(y, 3, 3, 4, 4, 1.0, 4)),
+)
+#: Kernels on matrices, of 8 bins and 12 frames.
+ON_MATRICES = (
+    ("nmf", "frames", lambda m: SQ.nmf(np.abs(m), 3, 20)[1]),
+    ("decompose", "frames", lambda m: SQ.decompose(np.abs(m), 3, 20, True)[1]),
+    ("nmf_hpss", "frames", lambda m: SQ.nmf_hpss(np.abs(m), 2, 2, 20)[0]),
+    ("nnls", "frames", lambda m: SQ.nnls(m[:, 1:4], m[:, 0])[:, None]),
+    ("agglomerative", "marks", lambda m: SQ.agglomerative(m, 4)),
+    ("subsegment", "marks", lambda m: SQ.subsegment(m, [6], 2)),
+    ("path_enhance", "frames", lambda m: SQ.path_enhance(SQ.cross_similarity(m, m), 5)),
+    ("nn_filter", "frames", lambda m: SQ.nn_filter(m, None, "median", -1)),
+    ("timelag_filter", "frames", lambda m: SQ.timelag_filter(m, None, "mean", "L2")),
+    ("viterbi_discriminative", "marks", lambda m: SQ.viterbi_discriminative(T.normalized(np.abs(m), 1), transitions.transition_loop(len(m), 0.5))[0]),
+    ("viterbi_binary", "frames", lambda m: SQ.viterbi_binary(np.clip(np.abs(m), 0, 1), transitions.transition_loop(2, 0.8))[0].astype(float)),
+    ("interp_harmonics", "frames", lambda m: T.interp_harmonics(m, np.arange(len(m)), [1, 2])[1]),
+    ("salience", "frames", lambda m: T.salience(np.abs(m), np.arange(len(m)), [1, 2])),
+    ("f0_harmonics", "frames", lambda m: T.f0_harmonics(m, np.full(m.shape[1], 2.0), np.arange(len(m)), [1, 2])),
+    ("spectrogram_rgb_size", "scalar", lambda m: len(kernel.image.spectrogram_to_rgb(m)[2])),
+)
+for name, kind, fn in ON_SIGNALS:
+    query(name)(lambda s, d, kind=kind, fn=fn: kernel.over_signals(adapters.signals(samples(s, d, True), SR), fn, kind))
+for name, kind, fn in ON_MATRICES:
+    query(name)(lambda s, d, kind=kind, fn=fn: kernel.over_matrices(kernel.matrices_of_feat(small(s, d)), fn, kind))
+
+
 def two(s: SparkSession, d: str) -> DataFrame:
     """Frames 0..7 and 8..17 of each matrix, four bins."""
     f = feat(s, d).where("k < 4")
