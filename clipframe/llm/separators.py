@@ -1,6 +1,7 @@
 """Token counts of flat, unindexed token files by a separator scan.
 
-A file is a run of 32-bit ids without any index, cut into blocks of a fixed number of ids wherever they fall.
+A file is a run of little-endian ids (16 or 32 bits) without any index, cut into blocks of a fixed number of ids
+wherever they fall.
 Each block is searched for the end-of-document id at once (numpy); a prefix scan over the blocks of a file then
 stitches documents that cross blocks.  Files are independent, so no task needs more than the block sums of one.
 Null texts are empty documents; empty blocks and files have no documents.
@@ -19,7 +20,7 @@ BLOCK_IDS = 1 << 18
 SCHEMA = "file int, block int, data binary, doc_ids array<long>, kind string"
 
 
-def _flat(path: str, end: int, block_ids: int):
+def _flat(path: str, end: int, block_ids: int, kind: str):
     def run(batches):
         from pyspark import TaskContext
 
@@ -38,56 +39,59 @@ def _flat(path: str, end: int, block_ids: int):
                 if size >= block_ids:
                     flat = np.concatenate(held)
                     for i in range(0, len(flat) - block_ids + 1, block_ids):
-                        yield row("ids", block, flat[i : i + block_ids].astype("<u4").tobytes())
+                        yield row("ids", block, flat[i : i + block_ids].astype(kind).tobytes())
                         block += 1
                     held = [flat[len(flat) // block_ids * block_ids :]]
                     size = len(held[0])
         if size:
-            yield row("ids", block, np.concatenate(held).astype("<u4").tobytes())
+            yield row("ids", block, np.concatenate(held).astype(kind).tobytes())
 
     return run
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> str:
-    """Encode the texts in ascending id order to flat files under ``path``/kind=ids; the doc ids, in order, to kind=names."""
-    spark = common.ship(docs.sparkSession)
+def write_flat(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, kind: str = "<u2") -> str:
+    """Encode the texts to flat files under ``path``/kind=ids, and the doc ids in the same order to kind=names.
+
+    A task writes one file from the rows that it reads, in their order; nothing shuffles.  ``kind`` must hold every id.
+    """
+    if end > np.iinfo(kind).max:
+        raise ValueError(f"the end id doesn't fit {kind}")
+    common.ship(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
-    rows = d.mapInArrow(_flat(tokenizer, end, block_ids), SCHEMA)
+    rows = d.mapInArrow(_flat(tokenizer, end, block_ids, kind), SCHEMA)
     rows.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     return path
 
 
-def blocks_of_files(spark: SparkSession, paths: str, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of raw files of little-endian 32-bit ids: (file string, block int, data binary)."""
-    size = F.octet_length("content")
-    n = F.ceil(size / F.lit(4 * block_ids)).cast("int")
+def blocks_of_files(spark: SparkSession, paths: str, block_ids: int = BLOCK_IDS, kind: str = "<u4") -> DataFrame:
+    """Blocks of raw files of ids: (file string, block int, data binary)."""
+    size, width = F.octet_length("content"), np.dtype(kind).itemsize * block_ids
+    n = F.ceil(size / F.lit(width)).cast("int")
     b = spark.read.format("binaryFile").load(paths).where(size > 0)
-    return b.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block")).select("file", "block", F.substring(F.col("content"), F.col("block") * (4 * block_ids) + 1, F.lit(4 * block_ids)).alias("data"))
+    return b.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block")).select("file", "block", F.substring(F.col("content"), F.col("block") * width + 1, F.lit(width)).alias("data"))
 
 
-def _scan(end: int):
+def _scan(end: int, kind: str):
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                ids = np.frombuffer(row.column("data")[0].as_py() or b"", "<u4")
+                ids = np.frombuffer(row.column("data")[0].as_py() or b"", kind)
                 at = np.flatnonzero(ids == end).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([row.column("file"), row.column("block"), pa.array([len(ids)], pa.int64()), pa.array([at], pa.list_(pa.int64()))], names=["file", "block", "n", "ends"])
 
     return run
 
 
-def count_tokens(blocks: DataFrame, end: int) -> DataFrame:
+def count_tokens(blocks: DataFrame, end: int, kind: str = "<u4") -> DataFrame:
     """file, doc (0-based in its file), start (place of its first id in the file), n_tokens (without the end id), ended.
 
     ``blocks`` has (file, block, data); blocks of a file but its last may have any length.  Ids after a file's last
     end id are a document that isn't ended.
     """
-    spark = common.ship(blocks.sparkSession)
-    kind = blocks.schema["file"].dataType.simpleString()
-    found = common.stored(blocks.select("file", "block", "data").mapInArrow(_scan(end), f"file {kind}, block int, n long, ends array<long>"), "ends")
+    common.ship(blocks.sparkSession)
+    name = blocks.schema["file"].dataType.simpleString()
+    found = common.stored(blocks.select("file", "block", "data").mapInArrow(_scan(end, kind), f"file {name}, block int, n long, ends array<long>"), "ends")
     prior = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = found.select("file", "block", "n", F.size("ends").cast("bigint").alias("docs"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(prior), F.lit(0))).withColumn("doc0", F.coalesce(F.sum("docs").over(prior), F.lit(0)))
@@ -100,11 +104,11 @@ def count_tokens(blocks: DataFrame, end: int) -> DataFrame:
     return whole.unionByName(tails.select("file", "doc", (F.col("last") + 1).alias("start"), (F.col("n") - F.col("last") - 1).alias("n_tokens"), F.lit(False).alias("ended")))
 
 
-def count_documents(spark: SparkSession, path: str, end: int) -> DataFrame:
+def count_documents(spark: SparkSession, path: str, end: int, kind: str = "<u2") -> DataFrame:
     """Counts of the files of write_flat with the documents' ids: doc_id, n_tokens, file, start."""
     blocks = spark.read.schema("file int, block int, data binary").parquet(f"{path}/kind=ids")
     names = spark.read.schema("file int, block int, doc_ids array<long>").parquet(f"{path}/kind=names")
     prior = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     names = names.withColumn("before", F.coalesce(F.sum(F.size("doc_ids").cast("bigint")).over(prior), F.lit(0)))
     names = names.select("file", "before", F.posexplode("doc_ids").alias("i", "doc_id")).select("file", (F.col("before") + F.col("i")).alias("doc"), "doc_id")
-    return count_tokens(blocks, end).join(names, ["file", "doc"]).select("doc_id", "n_tokens", "file", "start")
+    return count_tokens(blocks, end, kind).join(names, ["file", "doc"]).select("doc_id", "n_tokens", "file", "start")
