@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts into which the pairs of frames of a clip are cut for the join.
+BLOCKS = 8
+
+
 def delta(feat: DataFrame, width: int = 9, order: int = 1) -> DataFrame:
     """Regression slope over time, ``order`` times; places outside are mirrored at the ends, then clamped."""
     if width < 3:
@@ -175,7 +179,8 @@ def stack(parts: list[DataFrame], sizes: list[int], axis: str = "k") -> DataFram
 def cross_similarity(ref: DataFrame, est: DataFrame, metric: str = "cosine") -> DataFrame:
     """pairs(clip_id, i, j, x) of all frames of two matrices of a clip.
 
-    The frames' arrays meet by clip; the sums run over the zipped arrays, so no cell is shuffled twice.
+    The frames' arrays meet by clip and block: an estimate's frame is in one block, a reference's is sent to each, so
+    the pairs of a long clip are shared by ``BLOCKS`` tasks.  The sums run over the zipped arrays.
     """
     if metric not in ("cosine", "euclidean", "manhattan"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -183,7 +188,8 @@ def cross_similarity(ref: DataFrame, est: DataFrame, metric: str = "cosine") ->
     def rows(feat, t, v):
         return feat.groupBy("clip_id", F.col("t").alias(t)).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias(v))
 
-    both = rows(ref, "i", "a").join(rows(est, "j", "b"), "clip_id")
+    sent = rows(ref, "i", "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    both = sent.join(rows(est, "j", "b").withColumn("block", F.pmod("j", F.lit(BLOCKS)).cast("int")), ["clip_id", "block"])
     total = lambda f: F.aggregate(F.zip_with("a", "b", f), F.lit(0.0), lambda s, v: s + v)
     if metric == "cosine":
         norm = F.sqrt(total(lambda a, b: a * a)) * F.sqrt(total(lambda a, b: b * b))

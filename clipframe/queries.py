@@ -39,11 +39,6 @@ def positive(spark: SparkSession, sf: str) -> DataFrame:
     return feat(spark, sf).withColumn("x", F.abs("x"))
 
 
-def small(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 12 frames and 8 bins of each matrix, for operators on all pairs of frames."""
-    return feat(spark, sf).where("t < 12 AND k < 8")
-
-
 def magnitudes(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.magnitude(spectral.stft(samples(spark, sf), N, HOP))
 
@@ -77,6 +72,7 @@ FEAT = """m AS (SELECT CAST(label AS BIGINT) AS clip_id, t, CAST(pos - 1 AS BIGI
     SELECT label, embedding, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS t, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings))"""
 M = FEAT.format(x="CAST(embedding[pos] AS DOUBLE)")
 P = FEAT.format(x="abs(CAST(embedding[pos] AS DOUBLE))")
+# Cut to t < 12 AND k < 8, as the queries were once: they read whole matrices now, and tests/test_whole.py takes the cut off this text.
 SMALL = M + ", q AS (SELECT * FROM m WHERE t < 12 AND k < 8)"
 
 
@@ -406,14 +402,14 @@ query("index_to_slice", f"WITH {M}, f AS (SELECT DISTINCT clip_id, t FROM m WHER
 query("cyclic_gradient", f"WITH {M} SELECT a.clip_id, a.t, a.k, round((b.x - c.x) / 2, 4) + 0.0 AS x FROM m a JOIN m b ON b.clip_id = a.clip_id AND b.t = a.t AND b.k = (a.k + 1) % 64 JOIN m c ON c.clip_id = a.clip_id AND c.t = a.t AND c.k = (a.k + 63) % 64")(lambda s, d: matrix.cyclic_gradient(feat(s, d), 64))
 query("shear", f"WITH {M} SELECT clip_id, t AS i, (k + 2 * t) % 64 AS j, round(x, 4) + 0.0 AS x FROM m")(lambda s, d: matrix.shear(pairs_of(feat(s, d)), 64, 2.0))
 query("fill_off_diagonal", f"WITH {M} SELECT clip_id, t AS i, k AS j, CASE WHEN t = k THEN round(x, 4) + 0.0 ELSE 9.0 END AS x FROM m")(lambda s, d: matrix.fill_off_diagonal(pairs_of(feat(s, d)), 9.0))
-query("stack", f"WITH {SMALL} SELECT clip_id, t, k, round(x, 4) + 0.0 AS x FROM q UNION ALL SELECT clip_id, t, k + 8, round(x, 4) + 0.0 FROM q")(lambda s, d: matrix.stack([small(s, d), small(s, d)], [8, 8]))
+query("stack", f"WITH {SMALL} SELECT clip_id, t, k, round(x, 4) + 0.0 AS x FROM q UNION ALL SELECT clip_id, t, k + 8, round(x, 4) + 0.0 FROM q")(lambda s, d: matrix.stack([feat(s, d), feat(s, d)], [64, 64]))
 SIM = f"{SMALL}, cs AS (SELECT a.clip_id, a.t AS i, b.t AS j, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS cosine, -sqrt(sum(power(a.x - b.x, 2))) AS euclidean, -sum(abs(a.x - b.x)) AS manhattan FROM q a JOIN q b ON b.clip_id = a.clip_id AND b.k = a.k GROUP BY 1, 2, 3)"
 for metric in ("cosine", "euclidean", "manhattan"):
-    query(f"cross_similarity_{metric}", f"WITH {SIM} SELECT clip_id, i, j, round({metric}, 4) + 0.0 AS x FROM cs")(lambda s, d, m=metric: matrix.cross_similarity(small(s, d), small(s, d), m))
+    query(f"cross_similarity_{metric}", f"WITH {SIM} SELECT clip_id, i, j, round({metric}, 4) + 0.0 AS x FROM cs")(lambda s, d, m=metric: matrix.cross_similarity(feat(s, d), feat(s, d), m))
 
 
 def recurrence(s: SparkSession, d: str) -> DataFrame:
-    return matrix.recurrence_matrix(small(s, d), "connectivity", "cosine", 0.3)
+    return matrix.recurrence_matrix(feat(s, d), "connectivity", "cosine", 0.3)
 
 
 REC = f"{SIM}, re AS (SELECT clip_id, i, j, (cosine >= 0.3)::INT::DOUBLE AS x FROM cs)"
@@ -449,7 +445,7 @@ query(
     f"""WITH {P}, l AS (SELECT clip_id, t, k, list_sort(list(x) OVER (PARTITION BY clip_id, k ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS v, list_sort(list(x) OVER (PARTITION BY clip_id, t ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS u FROM m WHERE k < 8),
 h AS (SELECT clip_id, t, k, power(v[len(v) // 2 + 1], 2) AS h, power(u[len(u) // 2 + 1], 2) AS p FROM l) SELECT clip_id, t, k, round(h / (h + p + 1e-10), 4) + 0.0 AS harmonic, round(p / (h + p + 1e-10), 4) + 0.0 AS percussive FROM h""",
 )(lambda s, d: matrix.hpss_masks(positive(s, d).where("k < 8"), (5, 3)))
-query("nn_filter_time", f"WITH {REC} SELECT re.clip_id, re.i AS t, q.k, round(avg(q.x), 4) + 0.0 AS x FROM re JOIN q ON q.clip_id = re.clip_id AND q.t = re.j WHERE re.x > 0.5 GROUP BY 1, 2, 3")(lambda s, d: matrix.nn_filter_time(small(s, d), recurrence(s, d)))
+query("nn_filter_time", f"WITH {REC} SELECT re.clip_id, re.i AS t, q.k, round(avg(q.x), 4) + 0.0 AS x FROM re JOIN q ON q.clip_id = re.clip_id AND q.t = re.j WHERE re.x > 0.5 GROUP BY 1, 2, 3")(lambda s, d: matrix.nn_filter_time(feat(s, d), recurrence(s, d)))
 
 
 def spans(s: SparkSession, d: str, step: int) -> DataFrame:
@@ -517,12 +513,12 @@ ON_SIGNALS = (
     ("plp", "signal", lambda y, sr: RH.plp(y, 10, y, 1, 12)),
     ("peak_pick", "marks", lambda y, sr: RH.peak_pick(y, 3, 3, 4, 4, 1.0, 4)),
 )
-#: Kernels on matrices, of 8 bins and 12 frames.
+#: Kernels on whole matrices: name, kind of result, kernel.
 ON_MATRICES = (
     ("nmf", "frames", lambda m: SQ.nmf(np.abs(m), 3, 20)[1]),
     ("decompose", "frames", lambda m: SQ.decompose(np.abs(m), 3, 20, True)[1]),
     ("nmf_hpss", "frames", lambda m: SQ.nmf_hpss(np.abs(m), 2, 2, 20)[0]),
-    ("nnls", "frames", lambda m: SQ.nnls(m[:, 1:4], m[:, 0])[:, None]),
+    ("nnls", "frames", lambda m: SQ.nnls(m[:, 1:], m[:, 0])[:, None]),
     ("agglomerative", "marks", lambda m: SQ.agglomerative(m, 4)),
     ("subsegment", "marks", lambda m: SQ.subsegment(m, [6], 2)),
     ("path_enhance", "frames", lambda m: SQ.path_enhance(SQ.cross_similarity(m, m), 5)),
@@ -538,7 +534,7 @@ ON_MATRICES = (
 for name, kind, fn in ON_SIGNALS:
     query(name)(lambda s, d, kind=kind, fn=fn: kernel.over_signals(adapters.signals(samples(s, d, True), SR), fn, kind))
 for name, kind, fn in ON_MATRICES:
-    query(name)(lambda s, d, kind=kind, fn=fn: kernel.over_matrices(kernel.matrices_of_feat(small(s, d)), fn, kind))
+    query(name)(lambda s, d, kind=kind, fn=fn: kernel.over_matrices(kernel.matrices_of_feat(feat(s, d)), fn, kind))
 
 
 def two(s: SparkSession, d: str) -> DataFrame:
