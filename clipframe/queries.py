@@ -20,6 +20,8 @@ from .sources import adapters
 SR, N, HOP, MELS = 1000, 16, 8, 6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Some texts are cut to the first frames, bins or vectors, as the queries were once.  The queries read all of them
+#: now; tests/test_whole.py takes the cut off the text, or has brute force in its place.
 ORACLES: dict[str, str] = {}
 
 
@@ -72,7 +74,6 @@ FEAT = """m AS (SELECT CAST(label AS BIGINT) AS clip_id, t, CAST(pos - 1 AS BIGI
     SELECT label, embedding, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS t, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings))"""
 M = FEAT.format(x="CAST(embedding[pos] AS DOUBLE)")
 P = FEAT.format(x="abs(CAST(embedding[pos] AS DOUBLE))")
-# Cut to t < 12 AND k < 8, as the queries were once: they read whole matrices now, and tests/test_whole.py takes the cut off this text.
 SMALL = M + ", q AS (SELECT * FROM m WHERE t < 12 AND k < 8)"
 
 
@@ -272,16 +273,16 @@ query(
 query(
     "pad_center",
     "SELECT label, i::INT AS i, round(CASE WHEN i BETWEEN 3 AND 66 THEN embedding[i - 2]::DOUBLE ELSE 0 END, 4) + 0.0 AS x FROM embeddings, range(0, 70) r(i) WHERE vec_id < 40",
-)(lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 40").select("label", F.posexplode(arrays.pad_center(F.col("embedding").cast("array<double>"), 70)).alias("i", "x")))
+)(lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("label", F.posexplode(arrays.pad_center(F.col("embedding").cast("array<double>"), 70)).alias("i", "x")))
 query(
     "fix_length",
     "SELECT label, i::INT AS i, round(CASE WHEN i < 64 THEN embedding[i + 1]::DOUBLE ELSE 0 END, 4) + 0.0 AS x FROM embeddings, range(0, 70) r(i) WHERE vec_id < 40",
-)(lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 40").select("label", F.posexplode(arrays.fix_length(F.col("embedding").cast("array<double>"), 70)).alias("i", "x")))
+)(lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("label", F.posexplode(arrays.fix_length(F.col("embedding").cast("array<double>"), 70)).alias("i", "x")))
 query(
     "frame_array",
     "SELECT label, t::INT AS t, i::INT AS i, round(embedding[t * 8 + i + 1]::DOUBLE, 4) + 0.0 AS x FROM embeddings, range(0, 7) a(t), range(0, 16) b(i) WHERE vec_id < 40",
 )(
-    lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 40").select("label", F.posexplode(arrays.frame_array(F.col("embedding").cast("array<double>"), 16, 8)).alias("t", "f")).select("label", "t", F.posexplode("f").alias("i", "x"))
+    lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("label", F.posexplode(arrays.frame_array(F.col("embedding").cast("array<double>"), 16, 8)).alias("t", "f")).select("label", "t", F.posexplode("f").alias("i", "x"))
 )
 
 # ---- scalar conversions: events.value as Hz
