@@ -539,9 +539,9 @@ for name, kind, fn in ON_MATRICES:
 
 
 def two(s: SparkSession, d: str) -> DataFrame:
-    """Frames 0..7 and 8..17 of each matrix, four bins."""
-    f = feat(s, d).where("k < 4")
-    a, b = (kernel.matrices_of_feat(f.where(c)) for c in ("t < 8", "t >= 8 AND t < 18"))
+    """The first and the second half of each matrix's frames, all bins."""
+    f = feat(s, d).withColumn("half", F.floor((F.max("t").over(Window.partitionBy("clip_id")) + 1) / 2))
+    a, b = (kernel.matrices_of_feat(f.where(c)) for c in ("t < half", "t >= half"))
     return a.select("clip_id", "n_rows", F.col("v").alias("a")).join(b.select("clip_id", F.col("v").alias("b")), "clip_id")
 
 
@@ -551,7 +551,7 @@ query(
 cl AS (SELECT clip_id, list(d ORDER BY i, j) AS d FROM c GROUP BY 1),
 acc AS (SELECT clip_id, d, 0 AS p, [d[1]] AS a FROM cl UNION ALL SELECT clip_id, d, p + 1, list_append(a, d[p + 2] + CASE WHEN p + 1 < 10 THEN a[p + 1] WHEN (p + 1) % 10 = 0 THEN a[p - 8] ELSE least(a[p + 1], a[p - 8], a[p - 9]) END) FROM acc WHERE p + 1 < 80)
 SELECT clip_id, round(a[80], 4) + 0.0 AS cost FROM acc WHERE p = 79""",
-)(lambda s, d: kernel.dtw(two(s, d)).groupBy("clip_id").agg(F.max("cost").alias("cost")))
+)(lambda s, d: kernel.dtw(two(s, d)))
 query(
     "viterbi",
     f"""WITH RECURSIVE {P}, o AS (SELECT clip_id, t, k, ln(greatest(x / sum(x) OVER (PARTITION BY clip_id, t), 1e-10)) AS l FROM m WHERE k < 3 AND t < 15),
@@ -561,8 +561,8 @@ w AS (SELECT clip_id, t, d FROM v UNION ALL SELECT w.clip_id, w.t + 1, [greatest
 e AS (SELECT clip_id, t, d FROM w WHERE t = 14) SELECT clip_id, (CASE WHEN d[1] >= d[2] AND d[1] >= d[3] THEN 0 WHEN d[2] >= d[3] THEN 1 ELSE 2 END)::BIGINT AS idx FROM e""",
 )(
     lambda s, d: kernel.over_matrices(
-        kernel.matrices_of_feat(spectral.normalize_frames(positive(s, d).where("k < 3 AND t < 15"), "l1")), lambda m: kernel.sequences.viterbi(m, transitions.transition_loop(3, 0.8))[-1:], "marks"
-    )
+        kernel.matrices_of_feat(spectral.normalize_frames(positive(s, d), "l1")), lambda m: kernel.sequences.viterbi(m, transitions.transition_loop(len(m), 0.8))[None], "frames"
+    ).select("clip_id", "t", F.get("v", F.lit(0)).cast("bigint").alias("idx"))
 )
 
 
