@@ -152,7 +152,7 @@ HAVING a.y > max(b.y) FILTER (b.n BETWEEN a.n - 3 AND a.n + 3) AND a.y >= avg(b.
 )(lambda s, d: rhythm.peak_candidates(samples(s, d), 3, 3, 4, 4, 1.0))
 query("mu_compress", "SELECT event_id, round(ln(1 + 255.0 * abs(value)) / ln(256.0), 4) + 0.0 AS x FROM events")(lambda s, d: events(s, d).select("event_id", scales.mu_compress(F.col("value")).alias("x")))
 query("mu_expand", "SELECT event_id, round(CASE WHEN value < 100 THEN -1 ELSE 1 END * (power(256.0, abs(value / 100 - 1)) - 1) / 255.0, 4) + 0.0 AS x FROM events WHERE value < 200")(
-    lambda s, d: events(s, d).where("value < 200").select("event_id", scales.mu_expand(F.col("value") / 100.0 - 1.0).alias("x"))
+    lambda s, d: events(s, d).select("event_id", scales.mu_expand(F.col("value") / 100.0 - 1.0).alias("x"))
 )
 
 # ---- spectra
@@ -379,17 +379,17 @@ query("normalize_frames", f"WITH {M} SELECT clip_id, t, k, round(x / sqrt(sum(x
 query("normalize_bins", f"WITH {M} SELECT clip_id, t, k, round(x / max(abs(x)) OVER (PARTITION BY clip_id, k), 4) + 0.0 AS x FROM m")(lambda s, d: spectral.normalize_bins(feat(s, d), "max"))
 query("dct_type_ii", f"WITH {M} SELECT clip_id, t, c AS k, round(sum(x * CASE WHEN c = 0 THEN sqrt(1.0 / 64) ELSE sqrt(2.0 / 64) END * cos(pi() * c * (2 * k + 1) / 128.0)), 4) + 0.0 AS x FROM m, range(0, 5) r(c) GROUP BY 1, 2, 3")(lambda s, d: spectral.dct_type_ii(feat(s, d), 64, 5))
 query("dct_type_iii", f"WITH {M} SELECT clip_id, t, i AS k, round(sum(x * CASE WHEN k = 0 THEN sqrt(1.0 / 6) ELSE sqrt(2.0 / 6) END * cos(pi() * k * (2 * i + 1) / 12.0)), 4) + 0.0 AS x FROM m, range(0, 6) r(i) WHERE k < 6 GROUP BY 1, 2, 3")(
-    lambda s, d: spectral.dct_type_iii(feat(s, d).where("k < 6"), 6, 6)
+    lambda s, d: spectral.dct_type_iii(feat(s, d), 64, 64)
 )
 query(
     "delta",
     f"""WITH {M}, l AS (SELECT clip_id, max(t) AS last FROM m GROUP BY 1), w AS (SELECT a.clip_id, a.t, a.k, o, abs(a.t + o) AS p, last FROM m a JOIN l USING (clip_id), (VALUES (-2), (-1), (1), (2)) v(o) WHERE a.k < 4)
 SELECT w.clip_id, w.t, w.k, round(sum(o * b.x) / 10, 4) + 0.0 AS x FROM w JOIN m b ON b.clip_id = w.clip_id AND b.k = w.k AND b.t = CASE WHEN p > last THEN 2 * last - p ELSE p END GROUP BY 1, 2, 3""",
-)(lambda s, d: matrix.delta(feat(s, d).where("k < 4"), 5))
+)(lambda s, d: matrix.delta(feat(s, d), 5))
 query(
     "stack_memory",
     f"WITH {M} SELECT clip_id, t, b * 4 + k AS k, round(CASE b WHEN 0 THEN x WHEN 1 THEN coalesce(lag(x, 2) OVER o, 0) ELSE coalesce(lag(x, 4) OVER o, 0) END, 4) + 0.0 AS x FROM m, range(0, 3) r(b) WHERE k < 4 WINDOW o AS (PARTITION BY clip_id, k, b ORDER BY t)",
-)(lambda s, d: matrix.stack_memory(feat(s, d).where("k < 4"), 4, 3, 2))
+)(lambda s, d: matrix.stack_memory(feat(s, d), 64, 3, 2))
 query("axis_sort", f"WITH {M}, p AS (SELECT clip_id, k, arg_max(t, (x, t)) AS peak FROM m GROUP BY 1, 2), r AS (SELECT clip_id, k, row_number() OVER (PARTITION BY clip_id ORDER BY peak, k) - 1 AS rank FROM p) SELECT m.clip_id, t, m.k, rank, round(x, 4) + 0.0 AS x FROM m JOIN r ON r.clip_id = m.clip_id AND r.k = m.k")(lambda s, d: matrix.axis_sort(feat(s, d)))
 query(
     "sparsify_rows",
@@ -439,13 +439,13 @@ query("split_softmask", f"WITH {HALF} SELECT clip_id, 0 AS source, t, k, round(a
     lambda s, d: matrix.split_softmask(halves(s, d)[0].withColumn("source", F.lit(0)).unionByName(halves(s, d)[1].withColumn("source", F.lit(1))))
 )
 query("median_filter", f"WITH {P}, l AS (SELECT clip_id, t, k, list_sort(list(x) OVER (PARTITION BY clip_id, k ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS v FROM m WHERE k < 8) SELECT clip_id, t, k, round(v[len(v) // 2 + 1], 4) + 0.0 AS x FROM l")(
-    lambda s, d: matrix.median_filter(positive(s, d).where("k < 8"), 5)
+    lambda s, d: matrix.median_filter(positive(s, d), 5)
 )
 query(
     "hpss_masks",
     f"""WITH {P}, l AS (SELECT clip_id, t, k, list_sort(list(x) OVER (PARTITION BY clip_id, k ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS v, list_sort(list(x) OVER (PARTITION BY clip_id, t ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS u FROM m WHERE k < 8),
 h AS (SELECT clip_id, t, k, power(v[len(v) // 2 + 1], 2) AS h, power(u[len(u) // 2 + 1], 2) AS p FROM l) SELECT clip_id, t, k, round(h / (h + p + 1e-10), 4) + 0.0 AS harmonic, round(p / (h + p + 1e-10), 4) + 0.0 AS percussive FROM h""",
-)(lambda s, d: matrix.hpss_masks(positive(s, d).where("k < 8"), (5, 3)))
+)(lambda s, d: matrix.hpss_masks(positive(s, d), (5, 3)))
 query("nn_filter_time", f"WITH {REC} SELECT re.clip_id, re.i AS t, q.k, round(avg(q.x), 4) + 0.0 AS x FROM re JOIN q ON q.clip_id = re.clip_id AND q.t = re.j WHERE re.x > 0.5 GROUP BY 1, 2, 3")(lambda s, d: matrix.nn_filter_time(feat(s, d), recurrence(s, d)))
 
 
