@@ -73,7 +73,8 @@ def split(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray
     mark = mark[kind[mark + 1] == LETTER]
     one = mark[np.isin(cp[mark + 1], [ord(c) for c in "stmd"])]
     two = mark[~new[mark + 2]]
-    two = two[np.isin(cp[two + 1] * 256 + cp[two + 2], [ord(a) * 256 + ord(b) for a, b in ("re", "ve", "ll")])]
+    a, b = cp[two + 1], cp[two + 2]
+    two = two[(((a == ord("r")) | (a == ord("v"))) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))]
     begin[one + 1] = False
     begin[one + 2] = True
     begin[two + 1] = False
