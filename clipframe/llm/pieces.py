@@ -151,10 +151,12 @@ class PieceTable:
         at += np.arange(ends[-1], dtype=at.dtype)
         return self.flat[at], np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]).astype(np.int64)
 
-    def texts(self, texts: pa.StringArray, encode_text: Callable[[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for texts; ``encode_text`` takes those with unsettled code points."""
+    def texts(self, texts: pa.StringArray, encode_text: Callable[[str], np.ndarray], whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts; ``encode_text`` takes those with unsettled code points, and those marked in ``whole``."""
         pieces, counts, odd = split(texts)
         ids, lens = self.ids(pieces, counts)
+        if whole is not None:
+            odd = odd | whole
         if not odd.any():
             return ids, lens
         ends = np.concatenate([[0], np.cumsum(lens)])

@@ -31,6 +31,7 @@ def _flat(path: str, end: int, block_ids: int, kind: str):
 
         for batch in batches:
             for b in pieces.slices(batch):
+                # an added token in a text stays ordinary text: its id may be ``end``, which is no id of a document here
                 ids = tokenfile._with_end(*tokenfile.encoded(b.column("text"), path), end)
                 yield row("names", names, ids=b.column("doc_id").to_pylist())
                 names += 1

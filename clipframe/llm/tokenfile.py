@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +28,12 @@ FEW_SHARDS = 1_000_000
 SHARD_SCHEMA = "part int, shard int, doc_ids array<long>, n_tokens array<long>, ids long, grammar binary"
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str, added: bool = False):
+    """``added``: as the library has it, added tokens in a text are ids of their own; otherwise they are ordinary text."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not added
     return t
 
 
@@ -56,14 +58,26 @@ def piece_table(path: str) -> pieces.PieceTable:
 
 
 @functools.cache
-def text_encoder(path: str):
-    t = _tokenizer(path)
+def text_encoder(path: str, added: bool = False):
+    t = _tokenizer(path, added)
     return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def encoded(texts: pa.StringArray, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, and the number of each text's ids."""
-    return piece_table(path).texts(texts, text_encoder(path))
+@functools.cache
+def added_tokens(path: str) -> tuple[str, ...]:
+    return tuple(t.content for t in _tokenizer(path).get_added_tokens_decoder().values())
+
+
+def encoded(texts: pa.StringArray, path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, and the number of each text's ids.
+
+    With ``added``, texts that hold an added token go to the library whole; the table of pieces can't match it.
+    """
+    whole = None
+    for token in added_tokens(path) if added else ():
+        held = pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        whole = held if whole is None else whole | held
+    return piece_table(path).texts(texts, text_encoder(path, added), whole)
 
 
 def _with_end(ids: np.ndarray, lens: np.ndarray, end: int) -> np.ndarray:
@@ -90,7 +104,7 @@ def _write(path: str, end: int, base: int, shard_ids: int):
 
         for batch in batches:
             for b in pieces.slices(batch):
-                own, lens = encoded(b.column("text"), path)
+                own, lens = encoded(b.column("text"), path, True)
                 docs.append(b.column("doc_id").to_pylist())
                 counts.append(lens + 1)
                 ids.append(_with_end(own, lens, end))

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 import regex
 
-from clipframe.llm import pieces, tokenfile
+from clipframe.llm import pieces, separators, tokenfile
 
 TOKENIZER = P.path("byte_bpe_50k.json")
 
@@ -17,3 +17,24 @@ def test_contractions_are_told_by_both_letters(text):
     assert found.to_pylist() == [*one, "we", "'ll", *one] and counts.tolist() == [len(one), 2, len(one)] and not odd.any()
     ids, lens = tokenfile.encoded(pa.array([text]), TOKENIZER)
     assert ids.tolist() == tokenfile.text_encoder(TOKENIZER)(text).tolist() and lens.tolist() == [len(ids)]
+
+
+SPECIAL = ["a plain text", "a <|endoftext|> b<|endoftext|>", None, "<|endoftext|>", "<|endoftext| >", "กำ <|endoftext|>", "after"]
+
+
+def test_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in SPECIAL]
+    assert sum(ids.count(50256) for ids in want) == 4
+    d = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    path = str(tmp_path / "t")
+    tokenfile.write_tokens(d, path, TOKENIZER)
+    assert {r["doc_id"]: r["ids"] for r in tokenfile.read_ids(spark, path).collect()} == dict(enumerate(want))
+    found = sorted(tokenfile.read_documents(spark, path).collect())
+    assert [(r["start"], r["n_tokens"]) for r in found] == [(sum(map(len, want[:i])), len(w)) for i, w in enumerate(want)]
+    separators.write_flat(d, str(tmp_path / "flat"), TOKENIZER, 50256)
+    counts = {r["doc_id"]: r["n_tokens"] for r in separators.count_documents(spark, str(tmp_path / "flat"), 50256).collect()}
+    library.encode_special_tokens = True
+    assert counts == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(SPECIAL)}
