@@ -13,7 +13,6 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"CFRP1\0\0\0"
-ROUNDS = 6
 RULES_A_ROUND = 2048
 LEAST_COUNT = 8
 
@@ -53,55 +52,84 @@ class Grammar:
         return self.expand(self.sequence[a:b])[skip : skip + stop - start]
 
 
-CELL_BITS = 18
+CELL_BITS = 20
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> Grammar:
+def _frequent(pair: np.ndarray, bits: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the ``most`` most frequent pairs in ascending order, places that may hold them, index of the pair there or -1,
+    which of all places hold a pair that may be seen ``least`` times).
+
+    Pairs are counted exactly.  A cell counts all of its pairs, so only pairs of cells that reach the bound are sorted.
+    """
+    mixer = pair.dtype.type(0x9E3779B1 if bits == 32 else 0x9E3779B97F4A7C15)
+    cell_bits = max(12, most.bit_length(), min(CELL_BITS, len(pair).bit_length()))
+    shift = pair.dtype.type(bits - cell_bits)
+    cell = ((pair * mixer) >> shift).astype(np.int32)
+    in_cell = np.bincount(cell, minlength=1 << cell_bits)
+    open_ = (in_cell >= least)[cell]
+    bound = max(least, int(np.partition(in_cell, -most)[-most]))
+    while True:
+        at = np.flatnonzero((in_cell >= bound)[cell])
+        held = np.sort(pair[at])
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(held), 1), np.bool_), held[1:] != held[:-1]]))
+        count = np.diff(np.append(first, len(held)))
+        # a pair that is more frequent than the last of these is in a cell that reaches its count
+        last = max(least, int(np.partition(count, -most)[-most])) if len(count) >= most else least
+        if last >= bound:
+            break
+        bound = last
+    chosen = np.flatnonzero(count >= last)
+    chosen = np.sort(chosen[np.lexsort((held[first[chosen]], -count[chosen]))[:most]])  # of equally frequent pairs the smaller
+    pairs = held[first[chosen]]
+    if not len(pairs):
+        return pairs, at, at, open_
+    hot = np.zeros(1 << cell_bits, np.bool_)
+    hot[((pairs * mixer) >> shift).astype(np.int32)] = True
+    at = at[hot[cell[at]]]
+    own = np.minimum(np.searchsorted(pairs, pair[at]), len(pairs) - 1)
+    return pairs, at, np.where(pairs[own] == pair[at], own, -1), open_
+
+
+def compress(ids: np.ndarray, base: int, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> Grammar:
     """Grammar of ``ids`` (all below ``base``).
 
-    Each round hashes the pairs of neighbours to cells, counts in each cell the pair that wrote to it last (exactly:
-    other pairs of the cell are left for later rounds), gives the most frequent ones a rule each and replaces them
-    from left to right without overlap.  If all symbols fit 16 bits, pairs are 32 bits wide instead of 64.
+    Each round counts the pairs of neighbours, gives the most frequent ones a rule each and replaces them from left to
+    right without overlap, until no pair is seen ``least`` times.  A replacement makes pairs of its new symbol only, so
+    a pair that was once rarer than ``least`` stays so and isn't counted again.  While all symbols fit 16 bits, pairs
+    are 32 bits wide instead of 64.
     """
-    narrow = base + rounds * rules_a_round <= 1 << 16
-    symbol, wide, half = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
-    mixer = wide(0x9E3779B1 if narrow else 0x9E3779B97F4A7C15)
-    seq = np.ascontiguousarray(ids, symbol)
+    seq = np.ascontiguousarray(ids, np.uint32)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
-    top, cells = base, 1 << CELL_BITS
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        pair = (seq[:-1].astype(wide) << wide(half)) | seq[1:]
-        cell = ((pair * mixer) >> wide(2 * half - CELL_BITS)).astype(np.int32)
-        held = np.zeros(cells, wide)
-        held[cell] = pair
-        same = held[cell] == pair
-        count = np.bincount(cell[same], minlength=cells)
-        bound = max(least, int(np.partition(count, -rules_a_round)[-rules_a_round]))
-        chosen = np.flatnonzero(count >= bound)
-        chosen = chosen[np.lexsort((held[chosen], -count[chosen]))[:rules_a_round]]  # of equally frequent pairs the smaller
-        if not len(chosen):
+    top, live = base, np.ones(len(seq), np.bool_)  # live: places whose pair may be frequent
+    while len(seq) >= 2:
+        narrow = top + rules_a_round <= 1 << 16
+        symbol, wide, half = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
+        seq = seq.astype(symbol, copy=False)
+        places = np.flatnonzero(live[:-1])
+        pair = (seq[places].astype(wide) << wide(half)) | seq[places + 1]
+        pairs, at, own, open_ = _frequent(pair, 2 * half, rules_a_round, least)
+        if not len(pairs):
             break
-        hot = np.zeros(cells, np.bool_)
-        hot[chosen] = True
-        at = np.flatnonzero(same & hot[cell])
+        live[places[~open_]] = False
+        at, own = places[at[own >= 0]], own[own >= 0]
         first = np.ones(len(at), np.bool_)  # of a run of overlapping pairs, every second is replaced
         first[1:] = np.diff(at) != 1
         run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
+        kept = (np.arange(len(at)) - run) % 2 == 0
+        at, own = at[kept], own[kept]
+        used, own = np.unique(own, return_inverse=True)  # a pair that others overlap everywhere needs no rule
+        new = np.stack([pairs[used] >> wide(half), pairs[used] & wide((1 << half) - 1)], 1).astype(np.uint32)
+        grammar = Grammar(base, np.zeros((0, 2), np.uint32), lengths, seq)
+        lengths = np.concatenate([lengths, grammar.symbol_lengths(new[:, 0]) + grammar.symbol_lengths(new[:, 1])])
         keep = np.ones(len(seq), np.bool_)
         keep[at + 1] = False
-        new = np.stack([held[chosen] >> wide(half), held[chosen] & wide((1 << half) - 1)], 1).astype(np.uint32)
-        rule = np.zeros(cells, symbol)
-        rule[chosen] = np.arange(len(chosen)) + top
-        own = Grammar(base, np.zeros((0, 2), np.uint32), lengths, seq)
-        lengths = np.concatenate([lengths, own.symbol_lengths(new[:, 0]) + own.symbol_lengths(new[:, 1])])
         seq = seq.copy()
-        seq[at] = rule[cell[at]]
+        seq[at] = own + top
         seq = seq[keep]
+        live[at] = live[np.maximum(at - 1, 0)] = True
+        live = live[keep]
         rules.append(new)
-        top += len(chosen)
+        top += len(new)
     return Grammar(base, np.concatenate(rules), lengths, seq.astype(np.uint32))
 
 
