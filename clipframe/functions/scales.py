@@ -26,6 +26,11 @@ def _positive(f: Column, value: Column, otherwise: float) -> Column:
     return F.when(f > 0, value).otherwise(F.lit(otherwise))
 
 
+def _log2(x: Column) -> Column:
+    """As IEEE has it: -inf at zero, NaN below (the built-in gives null)."""
+    return F.when(x == 0, F.lit(NEG_INF)).when(x < 0, F.lit(float("nan"))).otherwise(F.log2(x))
+
+
 def hz_to_mel(f: Column, htk: bool = False) -> Column:
     if htk:
         return F.lit(2595.0) * F.log10(F.lit(1.0) + f / F.lit(700.0))
@@ -59,7 +64,7 @@ def midi_to_hz(m: Column) -> Column:
 
 
 def a4_to_tuning(a4: Column) -> Column:
-    return F.lit(12.0) * F.log2(a4 / F.lit(440.0))
+    return F.lit(12.0) * _log2(a4 / F.lit(440.0))
 
 
 def tuning_to_a4(t: Column) -> Column:
