@@ -23,7 +23,8 @@ NEG_INF = float("-inf")
 
 
 def _positive(f: Column, value: Column, otherwise: float) -> Column:
-    return F.when(f > 0, value).otherwise(F.lit(otherwise))
+    """``value`` above zero, ``otherwise`` at zero and below; null stays null."""
+    return F.when(f > 0, value).when(f <= 0, F.lit(otherwise))
 
 
 def _log2(x: Column) -> Column:
