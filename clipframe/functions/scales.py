@@ -32,6 +32,11 @@ def _log2(x: Column) -> Column:
     return F.when(x == 0, F.lit(NEG_INF)).when(x < 0, F.lit(float("nan"))).otherwise(F.log2(x))
 
 
+def named(names, place: Column) -> Column:
+    """The name at a 0-based place; null where the place is null (under code generation element_at gives the last)."""
+    return F.when(place.isNotNull(), F.element_at(F.array(*map(F.lit, names)), F.coalesce(place.cast("int"), F.lit(0)) + 1))
+
+
 def hz_to_mel(f: Column, htk: bool = False) -> Column:
     if htk:
         return F.lit(2595.0) * F.log10(F.lit(1.0) + f / F.lit(700.0))
@@ -74,12 +79,11 @@ def tuning_to_a4(t: Column) -> Column:
 
 def midi_to_note(midi: Column) -> Column:
     """Name with sharps and octave; also for negative numbers (octave by floor)."""
-    name = F.element_at(F.array(*map(F.lit, NOTES)), (F.pmod(midi, F.lit(12)) + 1).cast("int"))
-    return F.concat(name, (F.floor(midi / F.lit(12.0)) - 1).cast("int").cast("string"))
+    return F.concat(named(NOTES, F.pmod(midi, F.lit(12))), (F.floor(midi / F.lit(12.0)) - 1).cast("int").cast("string"))
 
 
 def hz_to_note(f: Column) -> Column:
-    return F.when(f > 0, midi_to_note(F.round(hz_to_midi(f)).cast("int"))).otherwise("N/A")
+    return F.when(f > 0, midi_to_note(F.round(hz_to_midi(f)).cast("int"))).when(f <= 0, "N/A")
 
 
 def note_to_midi(note: Column) -> Column:

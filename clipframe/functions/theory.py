@@ -148,7 +148,7 @@ def _strings(values) -> Column:
 def midi_to_svara_h(midi: Column, sa: Column, abbr: bool = True, unicode: bool = True) -> Column:
     """Hindustani name; octaves from Sa are dots, or ^n and _n."""
     step = midi - sa
-    name = F.element_at(_strings(SVARA_H[0 if abbr else 1]), (F.pmod(step, F.lit(12)) + 1).cast("int"))
+    name = scales.named(SVARA_H[0 if abbr else 1], F.pmod(step, F.lit(12)))
     octave = F.floor(step / F.lit(12.0)).cast("int")
     mark = (lambda sign, dot, n: F.repeat(F.lit(dot), n)) if unicode else (lambda sign, dot, n: F.concat(F.lit(sign), n.cast("string")))
     return F.when(octave < 0, F.concat(name, mark("_", "\u0323", -octave))).when(octave > 0, F.concat(name, mark("^", "\u0307", octave))).otherwise(name)
@@ -160,7 +160,7 @@ def midi_to_svara_c(midi: Column, sa: Column, mela: int, abbr: bool = True, octa
     if names[0] == "?":
         return F.when(midi.isNotNull(), F.lit("?"))
     step = midi - sa
-    name = F.element_at(_strings(names), (F.pmod(step, F.lit(12)) + 1).cast("int"))
+    name = scales.named(names, F.pmod(step, F.lit(12)))
     if not octave:
         return name
 
@@ -217,7 +217,7 @@ def interval_to_fjs(interval: Column, unison: Column, unicode: bool = True) -> C
         signs = F.substring(unison, 2, 99)
         count = lambda chars: F.char_length(signs) - F.char_length(F.translate(signs, chars, ""))
         n = F.floor(place / F.lit(7.0)).cast("int") + count(SHARP) - count(FLAT)
-        note = F.element_at(_strings(FIFTHS), (F.pmod(place, F.lit(7)) + 1).cast("int"))
+        note = scales.named(FIFTHS, F.pmod(place, F.lit(7)))
         ups = lambda a, b, k: F.concat(F.repeat(F.lit(a), F.floor(k / F.lit(2.0)).cast("int")), F.repeat(F.lit(b), k % 2))
         return F.concat(note, F.when(n >= 0, ups(two, one, n)).otherwise(ups(double, flat, -n)))
 

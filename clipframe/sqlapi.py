@@ -18,9 +18,9 @@ from .functions.scales import MEL_BREAK, MEL_BREAK_HZ, MEL_HZ, MEL_LOG_STEP, NOT
 FUNCTIONS = (
     ("hz_to_mel", "f DOUBLE", "DOUBLE", f"CASE WHEN f >= {MEL_BREAK_HZ}D THEN {MEL_BREAK}D + ln(f / {MEL_BREAK_HZ}D) / {MEL_LOG_STEP}D ELSE f / {MEL_HZ}D END"),
     ("mel_to_hz", "m DOUBLE", "DOUBLE", f"CASE WHEN m >= {MEL_BREAK}D THEN {MEL_BREAK_HZ}D * exp((m - {MEL_BREAK}D) * {MEL_LOG_STEP}D) ELSE m * {MEL_HZ}D END"),
-    ("hz_to_midi", "f DOUBLE", "DOUBLE", "CASE WHEN f > 0 THEN 12D * log2(f / 440D) + 69D ELSE 0D END"),
+    ("hz_to_midi", "f DOUBLE", "DOUBLE", "CASE WHEN f > 0 THEN 12D * log2(f / 440D) + 69D WHEN f <= 0 THEN 0D END"),
     ("midi_to_hz", "m DOUBLE", "DOUBLE", "440D * power(2D, (m - 69D) / 12D)"),
-    ("note_name", "midi INT", "STRING", f"concat(element_at(array({', '.join(repr(n) for n in NOTES)}), pmod(midi, 12) + 1), CAST(CAST(floor(midi / 12D) - 1 AS INT) AS STRING))"),
+    ("note_name", "midi INT", "STRING", f"CASE WHEN midi IS NOT NULL THEN concat(element_at(array({', '.join(repr(n) for n in NOTES)}), coalesce(pmod(midi, 12), 0) + 1), CAST(CAST(floor(midi / 12D) - 1 AS INT) AS STRING)) END"),
     ("power_db", "x DOUBLE", "DOUBLE", "10D * log10(greatest(x, 1e-10D))"),
     ("amplitude_db", "x DOUBLE", "DOUBLE", "20D * log10(greatest(x, 1e-10D))"),
     ("frame_time", "t BIGINT, sr INT, hop INT", "DOUBLE", "CAST(t * hop AS DOUBLE) / sr"),
