@@ -62,7 +62,7 @@ def zero_crossing_rate_frames(samples: DataFrame, frame_length: int, hop_length:
 
 def zero_crossing_rate(samples: DataFrame) -> DataFrame:
     before = F.lag("y").over(Window.partitionBy("clip_id").orderBy("n"))
-    change = F.when(before.isNull(), None).when((F.col("y") >= 0) != (before >= 0), 1.0).otherwise(0.0)
+    change = F.when(before.isNull() | F.col("y").isNull(), None).when((F.col("y") >= 0) != (before >= 0), 1.0).otherwise(0.0)
     return samples.select("clip_id", change.alias("c")).groupBy("clip_id").agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("x"))
 
 
@@ -76,7 +76,7 @@ def zero_crossings(samples: DataFrame, threshold: float = 1e-10, pad: bool = Fal
 
 
 def preemphasis(samples: DataFrame, coef: float = 0.97, zi: float = 0.0) -> DataFrame:
-    before = F.lag("y", 1, zi).over(Window.partitionBy("clip_id").orderBy("n"))
+    before = F.coalesce(F.lag("y").over(Window.partitionBy("clip_id").orderBy("n")), F.lit(zi))  # a missing sample is one of zi
     return samples.select("clip_id", "n", (F.col("y") - F.lit(coef) * before).alias("y"))
 
 
