@@ -20,6 +20,8 @@ from . import common, pieces
 
 #: Longer pieces (in bytes) would take a recursion step for each merge; they are merged by a loop instead.
 LONGEST = 64
+#: Words that are merged by one recursive query, which holds every step of them.
+WORDS_A_QUERY = 40_000
 SCHEMA = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 
 # A row is a token of a word: wp is word * 256 + position, positions are dense.  best is the word's least
@@ -111,8 +113,8 @@ class Codec:
                 else:
                     short.append(i)
         found = []
-        for k in range(0, len(short), 100_000):
-            own = short[k : k + 100_000]
+        for k in range(0, len(short), WORDS_A_QUERY):
+            own = short[k : k + WORDS_A_QUERY]
             lens = np.fromiter((len(raw[i]) for i in own), np.int64, len(own))
             at = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
             ids = self.byte_id[np.frombuffer(b"".join(raw[i] for i in own), np.uint8)]

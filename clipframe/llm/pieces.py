@@ -21,10 +21,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: to the libraries whole.
 SETTLED = ((0x0, 0x24F), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x4E00, 0x9FA5))
 LETTER, NUMBER, OTHER, SPACE, UNSETTLED = range(5)
-#: Distinct pieces a worker remembers before it starts afresh.
-REMEMBERED = 800_000
+#: Bytes of distinct pieces, with what Python and the tables take for each, that a worker remembers before it starts
+#: afresh: some 400,000 words.
+REMEMBERED_BYTES = 100_000_000
+PIECE_BYTES = 200
 #: Bytes of text that are put together at a time; a text is never cut.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 
 
 @functools.cache
@@ -107,6 +109,7 @@ class PieceTable:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.bytes = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int32)
         self.size = np.zeros(1 << 14, np.int32)
@@ -121,7 +124,7 @@ class PieceTable:
 
     def rows(self, pieces: list[str]) -> np.ndarray:
         """Row of each of these distinct pieces; unknown pieces are encoded together."""
-        if len(self.number) > REMEMBERED:
+        if self.bytes > REMEMBERED_BYTES:
             self.clear()
         number = self.number
         new = [p for p in pieces if p not in number]
@@ -135,6 +138,7 @@ class PieceTable:
             self.start[n : n + len(new)] = self.used + np.cumsum(lens) - lens
             self.flat[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
+            self.bytes += sum(map(len, new)) + PIECE_BYTES * len(new) + 4 * len(ids)
             number.update(zip(new, range(n, n + len(new))))
         return np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces))
 
