@@ -70,7 +70,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.jaccard_join(documents(spark, sf_dir))
+    return ngramjoin.jaccard_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_grams")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

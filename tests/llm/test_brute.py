@@ -287,3 +287,25 @@ def test_quality(spark):
         assert r["base_failed"] == (len(w) < 50 or 100 * repeat_words(t) > 50 * len(w))
     kept = quality.cascade(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("failed_rule IS NULL")
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
+
+
+def test_jaccard_of_an_id_with_two_texts(spark):
+    a, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "ac")
+    rows = [(1, a), (1, c), (2, a + " end"), (3, c + " end"), (None, c), (None, "x y"), (None, "z"), (4, None), (4, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["class_id"], r["n_links"]) for r in ngramjoin.jaccard_join(d).collect()]
+    assert sorted(x for x in got if x[0]) == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 4, 0), (4, 4, 0)]
+    assert sorted(x[2] for x in got if x[0] is None) == [0, 0, 2] and len({x[1] for x in got if x[0] is None}) == 3
+    left = [(r["doc_id"], r["text"]) for r in ngramjoin.first_of_each(d.unionByName(d)).collect()]
+    assert sorted(left, key=str) == sorted([(1, a), (1, c), (None, "x y"), (None, "z"), *[(4, None)] * 4], key=str)
+
+
+def test_common_grams_by_blocks(monkeypatch):
+    r = np.random.default_rng(8)
+    cells = np.unique(r.integers(0, 6 * 900, 2500))
+    cols, rows = cells // 6, cells % 6
+    a, b = np.triu_indices(6, 1)
+    want = [len(set(cols[rows == x]) & set(cols[rows == y])) for x, y in zip(a, b)]
+    for size in (64_000_000, 96):
+        monkeypatch.setattr(ngramjoin, "BITS_BYTES", size)
+        assert ngramjoin._common(rows, cols, 6, a, b).tolist() == want
