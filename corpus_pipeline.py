@@ -26,11 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies.  Documents without an id stay."""
-    gone = ngramjoin.jaccard_join(docs).where("doc_id <> class_id").select("doc_id")
-    gone = common.stored(gone, "gone")
-    few = gone.count() <= ngramjoin.FEW_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document of the least id of each group of near copies, once; documents without an id count as the last."""
+    return ngramjoin.first_of_each(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
