@@ -66,7 +66,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = suffixes.dedup_substrings(documents(spark, sf_dir))
+    kept_text = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut within a code point leaves replacement characters
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"), F.char_length(kept_text).cast("bigint").alias("kept_chars"), kept_text.alias("kept_text"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

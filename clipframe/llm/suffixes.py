@@ -31,6 +31,9 @@ from . import common
 
 SPAN = 400
 GRAM = 32
+#: Bytes of suffixes that are sorted together, and strings that are compared by bytes at a time.
+BUCKET_BYTES = 2_000_000
+COMPARED = 4_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INV = pow(int(_B), -1, 1 << 64)
 
@@ -219,8 +222,8 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, span: int) -> np.ndarr
     items, ends = multikey_groups(keys, len(starts))
     found = np.zeros(len(starts), np.bool_)
     first = np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)) if len(ends) else np.zeros(0, np.int64)
-    for i in range(0, len(items), 20_000):
-        own, rep = items[i : i + 20_000], items[first[i : i + 20_000]]
+    for i in range(0, len(items), COMPARED):
+        own, rep = items[i : i + COMPARED], items[first[i : i + COMPARED]]
         equal = (data[starts[own][:, None] + np.arange(span)] == data[starts[rep][:, None] + np.arange(span)]).all(1) & (own != rep)
         found[own[equal]] = True
         found[rep[equal]] = True
@@ -257,7 +260,7 @@ def _bucket(span: int):
                 continue
             lead = batch.column("lead")
             cuts = [0]
-            if size > 4_000_000:  # a bucket is worked off between two leads
+            if size > BUCKET_BYTES:  # a bucket is worked off between two leads
                 change = next((i for i in range(batch.num_rows) if lead[i].as_py() != (last if i == 0 else lead[i - 1].as_py())), None)
                 if change is not None:
                     if change:
