@@ -3,8 +3,8 @@
 Each document draws the key -ln(u) / w, u from a hash of seed and id, w its quality weight.  Within a source
 the documents of smallest key are chosen until the part of the target that remains after complete epochs is
 full.  Null texts have size 0, a null source is a source of its own and comes last, null ids draw as the text
-'null'; rows that are equal in id and text draw the same key, and either is taken first.  Size-0 documents are
-never taken.  Empty tables give empty tables; extra columns are kept, but for any with the name of a result.
+'null'; rows of equal keys stand by id and a hash of the row, and of rows that are wholly equal as many are taken as
+fit.  Texts may be of any length; a size-0 document is never taken.  Empty tables give empty tables; extra columns are kept, but for any with the name of a result.
 """
 
 from __future__ import annotations
@@ -95,23 +95,33 @@ def mix(
     ends = ends.where("before < rest AND before + words >= rest").groupBy("__source").agg(F.min_by(F.struct("slot", "before"), "slot").alias("end"))
     goals = common.stored(goals.join(ends.select(F.col("__source").alias("__s"), "end"), F.expr("source <=> __s"), "left").drop("__s"), "goals")
 
-    # the last slot of each source: the prefix sum within it decides which of its documents are taken
+    # the last slot of each source: the prefix sum within it decides which of its documents are taken; rows that are
+    # wholly equal are counted before they are sorted
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
     small = goals.select(F.col("source").alias("__s"), "source_size", "target", "epochs", "rest", F.col("end.slot").alias("end_slot"), F.col("end.before").alias("end_before"))
-    edge = own.select(F.col("__source"), F.col("__key"), F.col(id_col).alias("__id"), F.xxhash64(text).alias("__mark"), "__size", slot.alias("slot"))
+    edge = own.select(F.col("__source"), F.struct(F.col("__key").alias("__key"), F.col(id_col).alias("__id"), mark.alias("__mark")).alias("at"), "__size", slot.alias("slot"))
     edge = edge.join(F.broadcast(small) if _few(goals) else small, F.expr("__source <=> __s AND slot = end_slot")).where("__size > 0")
-    order = Window.partitionBy("__source").orderBy("__key", "__id", "__mark").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.col("end_before") + F.sum("__size").over(order))
+    edge = edge.groupBy("__source", "at", "__size", "rest", "end_before").agg(F.count("*").alias("copies"))
+    before = Window.partitionBy("__source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("end_before") + F.coalesce(F.sum(F.col("__size") * F.col("copies")).over(before), F.lit(0))
     # nearest to the rest: a document that crosses it is taken if at least half of it fits
-    edge = edge.withColumn("in", F.col("upto") - F.col("__size") / 2.0 <= F.col("rest"))
-    last = edge.where("in").groupBy("__source").agg(F.max(F.struct("__key", "__id", "__mark")).alias("last"))
-    small = common.stored(small.join(last.select(F.col("__source").alias("__t"), "last"), F.expr("__s <=> __t"), "left").drop("__t"), "lasts")
+    fits = F.floor((F.col("rest") - upto) / F.col("__size") + 0.5)
+    edge = edge.withColumn("fits", F.least(F.greatest(fits, F.lit(0)), F.col("copies")).cast("bigint"))
+    last = edge.where("fits > 0").groupBy("__source").agg(F.max(F.struct("at", "fits", "copies")).alias("end"))
+    last = last.select(F.col("__source").alias("__t"), F.col("end.at").alias("last"), F.col("end.fits").alias("fits"), F.col("end.copies").alias("copies"))
+    small = common.stored(small.join(last, F.expr("__s <=> __t"), "left").drop("__t"), "lasts")
 
     small = small.toDF(*[c if c.startswith("__") else f"__{c}" for c in small.columns])  # apart from any column of docs
     out = own.withColumn("__slot", slot)
     out = out.join(F.broadcast(small) if _few(small) else small, F.expr("__source <=> __s"), "left")
-    at = F.struct(F.col("__key").alias("__key"), F.col(id_col).alias("__id"), F.xxhash64(text).alias("__mark"))
+    at = F.struct(F.col("__key").alias("__key"), F.col(id_col).alias("__id"), mark.alias("__mark"))
+    cut = (F.col("__slot") == F.col("__end_slot")) & (F.col("__size") > 0) & F.coalesce(at == F.col("__last"), F.lit(False))
     chosen = F.when(F.col("__end_slot").isNull(), F.col("__rest") > 0).otherwise((F.col("__slot") < F.col("__end_slot")) | ((F.col("__slot") == F.col("__end_slot")) & F.coalesce(at <= F.col("__last"), F.lit(False))))
-    epochs = F.when(F.col("__size") > 0, F.col("__epochs") + F.when(chosen, 1).otherwise(0)).otherwise(0)
+    out = out.withColumn("__chosen", chosen)
+    if small.where("__fits < __copies").limit(1).count():  # of rows that are wholly equal only some fit
+        split = cut & (F.col("__fits") < F.col("__copies"))
+        out = out.where(~F.coalesce(split, F.lit(False))).unionByName(_some_of_equal(out.where(split), own.columns))
+    epochs = F.when(F.col("__size") > 0, F.col("__epochs") + F.when(F.col("__chosen"), 1).otherwise(0)).otherwise(0)
     results = {
         "size": F.col("__size"),
         "source_size": F.col("__source_size"),
@@ -122,6 +132,16 @@ def mix(
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results], *[v.alias(k) for k, v in results.items()])
 
 
+def _some_of_equal(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` again, of which as many of each group of equal ones are chosen as fit; copies are made by many tasks."""
+    rest = [c for c in rows.columns if c not in columns and c != "__chosen"]
+    one = rows.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in rest])
+    chunks = one.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / F.lit(ROWS_A_SLOT)))))
+    chunks = chunks.repartition("__chunk")
+    number = F.explode(F.sequence(F.col("__chunk") * ROWS_A_SLOT + 1, F.least((F.col("__chunk") + 1) * ROWS_A_SLOT, F.col("__n"))))
+    return chunks.withColumn("__i", number).withColumn("__chosen", F.col("__i") <= F.col("__fits")).drop("__i", "__chunk", "__n")
+
+
 def _few(sources: DataFrame, most: int = 100_000) -> bool:
     """Whether the table with a row for each source is small enough to broadcast; otherwise Spark joins by shuffle."""
     return sources.count() <= most
