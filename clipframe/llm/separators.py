@@ -4,7 +4,9 @@ A file is a run of little-endian ids (16 or 32 bits) without any index, cut into
 wherever they fall.
 Each block is searched for the end-of-document id at once (numpy); a prefix scan over the blocks of a file then
 stitches documents that cross blocks.  Files are independent, so no task needs more than the block sums of one.
-Null texts are empty documents; empty blocks and files have no documents.
+Null texts are empty documents; empty blocks, files and tables have no documents.  A text of any length is a run of
+blocks.  Documents are named by their place in a file, so that repeated rows and null ids stay apart; other columns of
+the table of documents play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,8 +109,9 @@ def count_tokens(blocks: DataFrame, end: int, kind: str = "<u4") -> DataFrame:
 
 def count_documents(spark: SparkSession, path: str, end: int, kind: str = "<u2") -> DataFrame:
     """Counts of the files of write_flat with the documents' ids: doc_id, n_tokens, file, start."""
-    blocks = spark.read.schema("file int, block int, data binary").parquet(f"{path}/kind=ids")
-    names = spark.read.schema("file int, block int, doc_ids array<long>").parquet(f"{path}/kind=names")
+    files = spark.read.schema(SCHEMA).parquet(path)  # of an empty table there are no folders of kinds
+    blocks = files.where("kind = 'ids'").select("file", "block", "data")
+    names = files.where("kind = 'names'").select("file", "block", "doc_ids")
     prior = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     names = names.withColumn("before", F.coalesce(F.sum(F.size("doc_ids").cast("bigint")).over(prior), F.lit(0)))
     names = names.select("file", "before", F.posexplode("doc_ids").alias("i", "doc_id")).select("file", (F.col("before") + F.col("i")).alias("doc"), "doc_id")
