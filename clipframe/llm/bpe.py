@@ -43,7 +43,7 @@ WITH RECURSIVE t(step, wp, id) AS (
 SELECT t.wp >> 8 AS w, id FROM t JOIN (SELECT wp >> 8 AS w, max(step) AS step FROM t GROUP BY 1) e ON e.w = t.wp >> 8 AND e.step = t.step ORDER BY wp
 """
 
-_DECODE = "SELECT doc, string_agg(s, '') AS text FROM (SELECT doc, s FROM ids JOIN vocabulary USING (id) ORDER BY doc, p) GROUP BY doc"
+_DECODE = "SELECT doc, string_agg(s, '' ORDER BY p) AS text FROM ids JOIN vocabulary USING (id) GROUP BY doc"
 
 
 class Codec:
