@@ -22,8 +22,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SETTLED = ((0x0, 0x24F), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x4E00, 0x9FA5))
 LETTER, NUMBER, OTHER, SPACE, UNSETTLED = range(5)
 #: Bytes of distinct pieces, with what Python and the tables take for each, that a worker remembers before it starts
-#: afresh: some 400,000 words.
-REMEMBERED_BYTES = 100_000_000
+#: afresh: some 700,000 words.
+REMEMBERED_BYTES = 160_000_000
 PIECE_BYTES = 200
 #: Bytes of text that are put together at a time; a text is never cut.
 SLICE_BYTES = 2_000_000

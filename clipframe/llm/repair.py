@@ -52,7 +52,13 @@ class Grammar:
         return self.expand(self.sequence[a:b])[skip : skip + stop - start]
 
 
-CELL_BITS = 20
+CELL_BITS = 18
+
+
+def _least_of_top(count: np.ndarray, most: int) -> int:
+    """The ``most``-th largest of these counts."""
+    above = np.cumsum(np.bincount(count)[::-1])
+    return len(above) - 1 - int(np.searchsorted(above, most))
 
 
 def _frequent(pair: np.ndarray, bits: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,14 +73,14 @@ def _frequent(pair: np.ndarray, bits: int, most: int, least: int) -> tuple[np.nd
     cell = ((pair * mixer) >> shift).astype(np.int32)
     in_cell = np.bincount(cell, minlength=1 << cell_bits)
     open_ = (in_cell >= least)[cell]
-    bound = max(least, int(np.partition(in_cell, -most)[-most]))
+    bound = max(least, _least_of_top(in_cell, most))
     while True:
         at = np.flatnonzero((in_cell >= bound)[cell])
         held = np.sort(pair[at])
         first = np.flatnonzero(np.concatenate([np.ones(min(len(held), 1), np.bool_), held[1:] != held[:-1]]))
         count = np.diff(np.append(first, len(held)))
         # a pair that is more frequent than the last of these is in a cell that reaches its count
-        last = max(least, int(np.partition(count, -most)[-most])) if len(count) >= most else least
+        last = max(least, _least_of_top(count, most)) if len(count) >= most else least
         if last >= bound:
             break
         bound = last
@@ -98,14 +104,14 @@ def compress(ids: np.ndarray, base: int, rules_a_round: int = RULES_A_ROUND, lea
     a pair that was once rarer than ``least`` stays so and isn't counted again.  While all symbols fit 16 bits, pairs
     are 32 bits wide instead of 64.
     """
-    seq = np.ascontiguousarray(ids, np.uint32)
+    seq = np.array(ids, np.uint32)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
     top, live = base, np.ones(len(seq), np.bool_)  # live: places whose pair may be frequent
     while len(seq) >= 2:
         narrow = top + rules_a_round <= 1 << 16
         symbol, wide, half = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
         seq = seq.astype(symbol, copy=False)
-        places = np.flatnonzero(live[:-1])
+        places = np.flatnonzero(live[:-1]).astype(np.int32 if len(seq) < 1 << 31 else np.int64)
         pair = (seq[places].astype(wide) << wide(half)) | seq[places + 1]
         pairs, at, own, open_ = _frequent(pair, 2 * half, rules_a_round, least)
         if not len(pairs):
@@ -123,7 +129,6 @@ def compress(ids: np.ndarray, base: int, rules_a_round: int = RULES_A_ROUND, lea
         lengths = np.concatenate([lengths, grammar.symbol_lengths(new[:, 0]) + grammar.symbol_lengths(new[:, 1])])
         keep = np.ones(len(seq), np.bool_)
         keep[at + 1] = False
-        seq = seq.copy()
         seq[at] = own + top
         seq = seq[keep]
         live[at] = live[np.maximum(at - 1, 0)] = True
