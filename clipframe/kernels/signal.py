@@ -311,13 +311,27 @@ def autocorrelate(y, max_lag: int | None = None) -> np.ndarray:
     return np.fft.irfft(np.abs(np.fft.rfft(y, size)) ** 2, size)[: min(n, n if max_lag is None else max_lag)]
 
 
+#: Samples of a recurrence that are worked off at once.
+BLOCK = 64
+
+
 def deemphasis(y, coef: float = 0.97, zi: float = 0.0) -> tuple[np.ndarray, float]:
     """y[n] + coef * out[n - 1]; also the last output, from which a next part goes on."""
-    out, last = [], zi
-    for v in np.asarray(y, float).tolist():
-        last = v + coef * last
-        out.append(last)
-    return np.array(out), last
+    y = np.asarray(y, float)
+    out, last = np.empty(len(y)), float(zi)
+    power = np.float64(coef) ** np.arange(BLOCK + 1)
+    lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+    within = np.where(lag >= 0, power[np.maximum(lag, 0)], 0.0)
+    for i in range(0, len(y), BLOCK):
+        part = y[i : i + BLOCK]
+        n = len(part)
+        if np.isfinite(part).all():
+            out[i : i + n] = within[:n, :n] @ part + power[1 : n + 1] * last
+        else:  # what isn't finite must not reach the samples before it
+            for k, v in enumerate(part.tolist()):
+                out[i + k] = last = v + coef * last
+        last = float(out[i + n - 1])
+    return out, last
 
 
 def preemphasis(y, coef: float = 0.97, zi: float = 0.0) -> tuple[np.ndarray, float]:

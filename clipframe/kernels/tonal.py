@@ -212,16 +212,17 @@ def _parabola(a, b, c):
 
 
 def yin(y, sr: float, frame_length: int = 2048, hop_length: int = 512, fmin: float = 40.0, fmax: float | None = None, threshold: float = 0.1) -> np.ndarray:
-    """Fundamental frequency of each uncentred frame; 0 where there is none."""
+    """Fundamental frequency of each uncentred frame; 0 where there is none.
+
+    Lags go up to half a frame; a signal shorter than a frame is one short frame.
+    """
     y = checked(y)
     if frame_length <= 0 or hop_length <= 0:
         raise ValueError("frame and hop lengths must be positive")
     fmax = sr / 4.0 if fmax is None else fmax
-    if len(y) < frame_length:
-        return np.zeros(0)
-    frames = frame(y, frame_length, hop_length)
-    low, high = max(int(sr / fmax), 1), min(int(sr / fmin), frame_length)
-    if high < 3 or low >= high:
+    frames = frame(y, frame_length, hop_length) if len(y) >= frame_length else y[None]
+    low, high = max(int(sr / fmax), 1), int(min(sr / fmin, frame_length / 2))
+    if high < 3 or low >= high or frames.shape[1] < high:
         return np.zeros(len(frames))
     c = _cmndf(frames, high)
     dip = np.zeros_like(c, bool)

@@ -6,9 +6,14 @@ partitioned by clip first.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels import signal
+from ..sources import adapters
+
 
 def frame_count(length: Column, frame_length: int, hop_length: int) -> Column:
     return F.when(length < frame_length, F.lit(0)).otherwise(F.floor((length - frame_length) / F.lit(float(hop_length))) + 1).cast("bigint")
@@ -81,16 +86,18 @@ def preemphasis(samples: DataFrame, coef: float = 0.97, zi: float = 0.0) -> Data
 
 
 def deemphasis(samples: DataFrame, coef: float = 0.97, zi: float = 0.0) -> DataFrame:
-    """The recurrence as one fold over each clip's array: a clip is one row."""
-    ys = samples.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "y"))), lambda s: s["y"]).alias("ys"))
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(zi).cast("double").alias("last"))
-
-    def step(acc, y):
-        new = y + F.lit(coef) * acc["last"]
-        return F.struct(F.concat(acc["out"], F.array(new)).alias("out"), new.alias("last"))
-
-    done = ys.select("clip_id", F.aggregate("ys", start, step, lambda a: a["out"]).alias("ys"))
-    return done.select("clip_id", F.posexplode("ys").alias("n", "y")).select("clip_id", F.col("n").cast("bigint").alias("n"), "y")
+    """The recurrence over each clip's array, in blocks; from a missing sample on all are missing."""
+
+    def run(batches):
+        for b in batches:
+            for clip, ys in zip(b.column("clip_id"), b.column("y")):
+                y = ys.values
+                out, _ = signal.deemphasis(y.to_numpy(zero_copy_only=False), coef, zi)
+                missing = np.logical_or.accumulate(y.is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_pydict({"clip_id": pa.repeat(clip, len(out)), "n": pa.array(np.arange(len(out))), "y": pa.array(out, mask=missing)})
+
+    kind = samples.schema["clip_id"].dataType.simpleString()
+    return adapters.signals(samples, 1).select("clip_id", "y").mapInArrow(run, f"clip_id {kind}, n long, y double")
 
 
 def valid_audio(samples: DataFrame) -> DataFrame:

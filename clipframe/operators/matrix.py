@@ -188,11 +188,15 @@ def cross_similarity(ref: DataFrame, est: DataFrame, metric: str = "cosine") ->
     def rows(feat, t, v):
         return feat.groupBy("clip_id", F.col("t").alias(t)).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias(v))
 
-    sent = rows(ref, "i", "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    both = sent.join(rows(est, "j", "b").withColumn("block", F.pmod("j", F.lit(BLOCKS)).cast("int")), ["clip_id", "block"])
+    own = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    ref_rows, est_rows = rows(ref, "i", "a"), rows(est, "j", "b")
+    if metric == "cosine":  # a norm for each frame, not for each pair
+        ref_rows, est_rows = ref_rows.withColumn("norm_a", own("a")), est_rows.withColumn("norm_b", own("b"))
+    sent = ref_rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    both = sent.join(est_rows.withColumn("block", F.pmod("j", F.lit(BLOCKS)).cast("int")), ["clip_id", "block"])
     total = lambda f: F.aggregate(F.zip_with("a", "b", f), F.lit(0.0), lambda s, v: s + v)
     if metric == "cosine":
-        norm = F.sqrt(total(lambda a, b: a * a)) * F.sqrt(total(lambda a, b: b * b))
+        norm = F.col("norm_a") * F.col("norm_b")
         x = F.when(norm > 1e-10, total(lambda a, b: a * b) / norm).otherwise(0.0)
     elif metric == "euclidean":
         x = -F.sqrt(total(lambda a, b: (a - b) * (a - b)))
@@ -291,11 +295,19 @@ def hpss_masks(mag: DataFrame, kernel_size: tuple[int, int] = (31, 31), power: f
 def match_intervals(ref: DataFrame, est: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(clip_id, i, j): for each reference (clip_id, seq, start, stop) the first estimate of largest overlap share.
 
-    The share is intersection over hull, above the threshold; only intervals that touch are joined.
+    The share is intersection over hull, above the threshold.  Intervals meet in slots of a clip's mean length, of
+    which each takes two on average; a pair counts in the first slot that both have.
     """
     r = ref.select("clip_id", F.col("seq").alias("i"), F.col("start").alias("a"), F.col("stop").alias("b"))
     e = est.select("clip_id", F.col("seq").alias("j"), F.col("start").alias("c"), F.col("stop").alias("d"))
-    both = r.join(e, "clip_id").where("c < b AND a < d")
+    lengths = r.select("clip_id", (F.col("b") - F.col("a")).alias("w")).unionAll(e.select("clip_id", F.col("d") - F.col("c")))
+    width = lengths.groupBy("clip_id").agg(F.avg("w").alias("w")).withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(1.0))
+
+    def slotted(x, start, stop, first):
+        slot = lambda c: F.floor(F.col(c) / F.col("w"))
+        return x.join(width, "clip_id").withColumn(first, slot(start)).withColumn("slot", F.explode(F.sequence(slot(start), F.greatest(slot(start), slot(stop))))).drop("w")
+
+    both = slotted(r, "a", "b", "r0").join(slotted(e, "c", "d", "e0"), ["clip_id", "slot"]).where("slot = greatest(r0, e0) AND c < b AND a < d")
     hull = F.greatest("b", "d") - F.least("a", "c")
     share = (F.least("b", "d") - F.greatest("a", "c")) / hull
     best = both.withColumn("s", share).where((F.col("s") > threshold)).withColumn("r", F.row_number().over(Window.partitionBy("clip_id", "i").orderBy(F.col("s").desc(), "j")))

@@ -89,11 +89,17 @@ def _chunks(data: bytes) -> tuple[int, int, int, int, int, int]:
 
 def decode_wav(data: bytes, offset: float | None = None, duration: float | None = None) -> tuple[np.ndarray, int]:
     """(samples (channels, frames), sample rate); whole numbers are scaled by their bits."""
-    kind, channels, sr, bits, start, size = _chunks(data)
-    width = bits // 8
-    frames = size // (width * channels)
+    channels, sr, bits, size = *_chunks(data)[1:4], _chunks(data)[5]
+    frames = size // (bits // 8 * channels)
     first = min(int((offset or 0.0) * sr), frames)
-    n = frames - first if duration is None else min(int(duration * sr), frames - first)
+    return decode_frames(data, first, frames - first if duration is None else int(duration * sr)), sr
+
+
+def decode_frames(data: bytes, first: int, n: int) -> np.ndarray:
+    """Samples (channels, frames) of so many frames from ``first`` on, or as many as there are; reads only their bytes."""
+    kind, channels, _, bits, start, size = _chunks(data)
+    width = bits // 8
+    n = max(min(n, size // (width * channels) - first), 0)
     raw = data[start + first * width * channels : start + (first + n) * width * channels]
     if kind == 3:
         x = np.frombuffer(raw, f"<f{width}").astype(np.float32)
@@ -104,7 +110,7 @@ def decode_wav(data: bytes, offset: float | None = None, duration: float | None
         x = (((b[:, 0] << 8) | (b[:, 1] << 16) | (b[:, 2] << 24)) >> 8).astype(np.float32) / 2.0**23
     else:
         x = (np.frombuffer(raw, f"<i{width}") / 2.0 ** (bits - 1)).astype(np.float32)
-    return x.reshape(-1, channels).T, sr
+    return x.reshape(-1, channels).T
 
 
 def encode_wav(samples: np.ndarray, sr: int) -> bytes:

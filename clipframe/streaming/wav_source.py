@@ -22,13 +22,16 @@ class _Reader(SimpleDataSourceStreamReader):
             raise ValueError("chunk_size must be positive")
 
     def _block(self, chunk: int):
-        """The chunk's rows: none beyond the end, where the last one is short."""
-        from ..sources.wav import decode_wav
+        """The chunk's rows: none beyond the end, where the last one is short.  Only the chunk's bytes are read."""
+        import mmap
 
-        with open(self.path, "rb") as f:
-            x, sr = decode_wav(f.read(), self.offset, self.duration)
-        part = x[:, chunk * self.chunk : (chunk + 1) * self.chunk]
-        return [(sr, len(x), chunk, [c.tolist() for c in part])] if part.shape[1] else []
+        from ..sources.wav import _chunks, decode_frames
+
+        with open(self.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            sr, begin = _chunks(data)[2], chunk * self.chunk
+            left = self.chunk if self.duration is None else min(self.chunk, int(self.duration * sr) - begin)
+            part = decode_frames(data, int(self.offset * sr) + begin, left)
+        return [(sr, len(part), chunk, [c.tolist() for c in part])] if part.shape[1] else []
 
     def initialOffset(self) -> dict:
         return {"chunk": 0}
