@@ -552,6 +552,81 @@ query("viterbi")(
 )
 
 
+# ---- small functions, tables of parameters and music theory
+
+scalar("z_weighting", lambda v: scales.z_weighting(F.col("event_id").cast("double")), "0.0::DOUBLE")
+scalar("i32_to_float", lambda v: scales.i32_to_float(F.col("event_id") * 1_000_003), R("event_id * 1000003 / 2147483648.0"))
+scalar("valid_int", lambda v: scales.valid_int(F.floor(v).cast("double"), "value"), "floor(value)")
+for name, made, sql in (
+    ("mel_frequencies", bases.mel_frequencies(24, 0.0, 8000.0), "SELECT i, round(CASE WHEN m >= 15 THEN 1000 * exp((m - 15) * 0.068751777) ELSE m * 200 / 3.0 END, 4) + 0.0 AS x FROM (SELECT i, (15 + ln(8.0) / 0.068751777) * i / 23 AS m FROM range(0, 24) r(i))"),
+    ("mel_frequencies_htk", bases.mel_frequencies(24, 100.0, 8000.0, True), "SELECT i, round(700 * (power(10, (a + (b - a) * i / 23) / 2595) - 1), 4) + 0.0 AS x FROM range(0, 24) r(i), (SELECT 2595 * log10(1 + 100 / 700.0) AS a, 2595 * log10(1 + 8000 / 700.0) AS b)"),
+    ("fourier_tempo_frequencies", bases.fourier_tempo_frequencies(22050, 512, 100), "SELECT i, round(i * 22050 * 60.0 / (512 * 100), 4) + 0.0 AS x FROM range(0, 51) r(i)"),
+    ("tempogram_frequencies", bases.tempogram_frequencies(40, 22050, 512, 100), "SELECT i, round(i * 22050 * 60.0 / (512 * 128), 4) + 0.0 AS x FROM range(0, 40) r(i)"),
+    ("expand_to", [bases.expand_to(n, 5) for n in range(1, 200)], "SELECT i, power(2, ceil(log2(greatest(i + 1, 5))))::DOUBLE AS x FROM range(0, 199) r(i)"),
+    ("get_window_from_str", windows.get_window_from_str("Blackman", 48), "SELECT i, round(0.42 - 0.5 * cos(2 * pi() * i / 48) + 0.08 * cos(4 * pi() * i / 48), 4) + 0.0 AS x FROM range(0, 48) r(i)"),
+    ("window_bandwidth", [windows.window_bandwidth(w) for w in ("hann", "hamming", "bartlett")], """SELECT k AS i, round(1000 * sum(w * w) / power(sum(w), 2), 4) + 0.0 AS x FROM (
+        SELECT k, CASE k WHEN 0 THEN 0.5 - 0.5 * cos(2 * pi() * i / 1000) WHEN 1 THEN 0.54 - 0.46 * cos(2 * pi() * i / 1000) ELSE 1 - abs(2 * i / 1000.0 - 1) END AS w FROM range(0, 3) a(k), range(0, 1000) b(i)) GROUP BY 1"""),
+    ("diagonal_filter", windows.diagonal_filter("hann", 9).ravel(), "SELECT i * 9 + j AS i, round(CASE WHEN i = j THEN (0.5 - 0.5 * cos(2 * pi() * i / 9)) / 4.5 ELSE 0 END, 4) + 0.0 AS x FROM range(0, 9) a(i), range(0, 9) b(j)"),
+    ("pythagorean_intervals_sorted", theory.pythagorean_intervals(12, True), "SELECT row_number() OVER (ORDER BY x) - 1 AS i, round(x, 4) + 0.0 AS x FROM (SELECT power(2, i * log2(3.0) - floor(i * log2(3.0))) AS x FROM range(0, 12) r(i))"),
+    ("note_to_pitch_class", [theory.note_to_pitch_class(n + a) for n in "CDEFGAB" for a in ("", "#", "b", "##", "bb")], "SELECT k * 5 + j AS i, ((([0, 2, 4, 5, 7, 9, 11])[k + 1] + ([0, 1, -1, 2, -2])[j + 1] + 12) % 12)::DOUBLE AS x FROM range(0, 7) a(k), range(0, 5) b(j)"),
+):
+    query(name, sql)(lambda s, d, m=made: s.createDataFrame([(i, float(x)) for i, x in enumerate(m)], "i long, x double"))
+query(
+    "mel_filterbank",
+    """WITH e AS (SELECT k, CASE WHEN m >= 15 THEN 1000 * exp((m - 15) * 0.068751777) ELSE m * 200 / 3.0 END AS f FROM (SELECT k, (15 + ln(4.0) / 0.068751777) * k / 9 AS m FROM range(0, 10) r(k)))
+SELECT a.k AS i, j, round(greatest(least((q - a.f) / (b.f - a.f), (c.f - q) / (c.f - b.f)), 0) * 2 / (c.f - a.f), 4) + 0.0 AS x
+FROM e a JOIN e b ON b.k = a.k + 1 JOIN e c ON c.k = a.k + 2, (SELECT j, j * 8000 / 64.0 AS q FROM range(0, 33) r(j))""",
+)(lambda s, d: bases.long_table(s, bases.mel_filterbank(8000, 64, 8), "i", "j", "x", True))
+query("mela_to_degrees", """SELECT mela::BIGINT AS mela, [0, ri + 1, ga + 1, CASE WHEN mela <= 36 THEN 5 ELSE 6 END, 7, da + 8, ni + 8][k + 1]::BIGINT AS degree, k FROM (
+    SELECT mela, ([0, 0, 0, 1, 1, 2])[(mela - 1) % 36 // 6 + 1] AS ri, ([1, 2, 3, 2, 3, 3])[(mela - 1) % 36 // 6 + 1] AS ga, ([0, 0, 0, 1, 1, 2])[(mela - 1) % 6 + 1] AS da, ([1, 2, 3, 2, 3, 3])[(mela - 1) % 6 + 1] AS ni
+    FROM range(1, 73) r(mela)), range(0, 7) b(k)""")(lambda s, d: s.createDataFrame([(m, k, x) for m in range(1, 73) for k, x in enumerate(theory.mela_to_degrees_by_index(m))], "mela long, k long, degree long"))
+query("key_to_degrees", "SELECT 'CDEFGAB'[k + 1] AS tonic, j, ((([0, 2, 4, 5, 7, 9, 11])[k + 1] + ([0, 2, 3, 5, 7, 8, 10])[j + 1]) % 12)::BIGINT AS degree FROM range(0, 7) a(k), range(0, 7) b(j)")(
+    lambda s, d: s.createDataFrame([(t, j, x) for t in "CDEFGAB" for j, x in enumerate(theory.key_to_degrees(f"{t}:minor"))], "tonic string, j long, degree long")
+)
+query("key_to_notes", """WITH k AS (SELECT 'CDEFGAB'[k + 1] AS tonic, ([0, 2, 4, 5, 7, 9, 11])[k + 1] AS pitch FROM range(0, 7) a(k))
+SELECT tonic, j, CASE WHEN pitch * 7 % 12 < 6 THEN (['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'])[j + 1] ELSE (['C', 'Db', 'D', 'Eb', 'E', 'F', 'Gb', 'G', 'Ab', 'A', 'Bb', 'B'])[j + 1] END AS note FROM k, range(0, 12) b(j)""")(
+    lambda s, d: s.createDataFrame([(t, j, x) for t in "CDEFGAB" for j, x in enumerate(theory.key_to_notes(f"{t}:maj", False))], "tonic string, j long, note string")
+)
+query("fifths_to_note", """SELECT n, 'FCGDAEB'[((n + 1) % 7 + 7) % 7 + 1] || repeat(CASE WHEN o >= 0 THEN '##' ELSE 'bb' END, (abs(o) // 2)::INT) || repeat(CASE WHEN o >= 0 THEN '#' ELSE 'b' END, (abs(o) % 2)::INT) AS note
+FROM (SELECT n, floor((n + 1) / 7.0)::INT AS o FROM range(-24, 25) r(n))""")(lambda s, d: s.createDataFrame([(n, theory.fifths_to_note("C", n, False)) for n in range(-24, 25)], "n long, note string"))
+SVC = "['S', 'R1', 'R2', 'G2', 'G3', 'M1', 'M2', 'P', 'D1', 'D2', 'N2', 'N3']"
+STEP = "(event_id % 60)::INT - 24"
+scalar("midi_to_svara_h", lambda v: theory.midi_to_svara_h((F.col("event_id") % 60 + 36).cast("int"), F.lit(60), True, False), f"{SV}[(({STEP}) % 12 + 12) % 12 + 1] || CASE WHEN {STEP} < 0 THEN '_' || (-floor(({STEP}) / 12.0))::INT WHEN {STEP} >= 12 THEN '^' || floor(({STEP}) / 12.0)::INT ELSE '' END")
+scalar("midi_to_svara_c", lambda v: theory.midi_to_svara_c((F.col("event_id") % 60 + 36).cast("int"), F.lit(60), 29, True, True, False), f"{SVC}[(({STEP}) % 12 + 12) % 12 + 1] || CASE WHEN {STEP} BETWEEN 12 AND 23 THEN '''' WHEN {STEP} BETWEEN -12 AND -1 THEN ',' ELSE '' END")
+ODD = "CASE event_id % 5 WHEN 0 THEN '?' ELSE {x} END"
+named_note = lambda: F.when(F.col("event_id") % 5 == 0, F.lit("Db4")).otherwise(scales.midi_to_note((F.col("event_id") % 60 + 36).cast("int")))
+scalar("note_to_svara_h", lambda v: theory.note_to_svara_h(named_note(), F.lit("C4"), True, False), ODD.format(x=ORACLES["midi_to_svara_h"].removeprefix("SELECT event_id, ").removesuffix(" AS x FROM events")))
+scalar("note_to_svara_c", lambda v: theory.note_to_svara_c(named_note(), F.lit("C4"), 29, True, True, False), ODD.format(x=ORACLES["midi_to_svara_c"].removeprefix("SELECT event_id, ").removesuffix(" AS x FROM events")))
+query("frame_count", f"WITH {S} SELECT clip_id, CASE WHEN count(*) < {N} THEN 0 ELSE (count(*) - {N}) // {HOP} + 1 END::BIGINT AS n FROM s GROUP BY 1")(
+    lambda s, d: samples(s, d).groupBy("clip_id").agg(F.count("*").alias("length")).select("clip_id", framing.frame_count(F.col("length"), N, HOP).alias("n"))
+)
+query("get_duration", f"WITH {S} SELECT clip_id, round(count(*) / {SR}.0, 4) + 0.0 AS seconds FROM s GROUP BY 1")(lambda s, d: framing.get_duration(adapters.signals(samples(s, d), SR)))
+query("to_mono", f"WITH {S} SELECT clip_id, n, round((y + 3 * y + 1) / 2, 4) + 0.0 AS y FROM s")(
+    lambda s, d: framing.to_mono(samples(s, d).withColumn("ch", F.lit(0)).unionByName(samples(s, d).withColumns({"ch": F.lit(1), "y": F.col("y") * 3 + 1})))
+)
+query("valid_audio", f"WITH {S} SELECT clip_id, n, round(y, 4) + 0.0 AS y FROM s")(lambda s, d: framing.valid_audio(samples(s, d)))
+query("fix_frames_f32", f"WITH {S} SELECT DISTINCT clip_id, t FROM (SELECT clip_id, least(greatest(floor(y)::BIGINT, 3), 60) AS t FROM s UNION ALL SELECT clip_id, unnest([3, 60])::BIGINT FROM s)")(
+    lambda s, d: matrix.fix_frames_f32(samples(s, d).select("clip_id", F.col("y").alias("t")), 3, 60)
+)
+query("index_to_slice_f32", f"WITH {S}, f AS (SELECT DISTINCT clip_id, floor(y)::BIGINT AS t FROM s) SELECT * FROM (SELECT clip_id, t AS start, lead(t) OVER (PARTITION BY clip_id ORDER BY t) AS stop FROM f) WHERE stop IS NOT NULL")(
+    lambda s, d: matrix.index_to_slice_f32(samples(s, d).select("clip_id", F.col("y").alias("t")))
+)
+query("rfft", f"WITH {S}, c AS (SELECT clip_id, count(*) AS len FROM s GROUP BY 1) SELECT s.clip_id, k, round(sqrt(power(sum(y * cos(2 * pi() * ((k * n) % len) / len)), 2) + power(sum(y * sin(2 * pi() * ((k * n) % len) / len)), 2)), 4) + 0.0 AS x FROM s JOIN c USING (clip_id), unnest(range(0, len // 2 + 1)) r(k) GROUP BY 1, 2")(
+    lambda s, d: kernel.over_signals(adapters.signals(samples(s, d), SR), lambda y, sr: np.abs(kernel.signal.rfft(y))[:, None], "frames").select("clip_id", F.posexplode("v").alias("k", "x")).select("clip_id", F.col("k").cast("bigint").alias("k"), "x")
+)
+query(
+    "yin",
+    f"""WITH {G}, c AS (SELECT clip_id, count(*) AS len FROM s GROUP BY 1), g AS (SELECT clip_id, len, unnest(range(0, greatest(len - 32, 0) // 8 + 1)) AS t FROM c),
+fr AS (SELECT g.clip_id, g.t, least(len, 32) AS size, s.n - g.t * 8 AS i, s.y FROM g JOIN s ON s.clip_id = g.clip_id AND s.n BETWEEN g.t * 8 AND g.t * 8 + 31),
+df AS (SELECT a.clip_id, a.t, b.i - a.i AS k, sum(power(a.y - b.y, 2)) AS d FROM fr a JOIN fr b ON b.clip_id = a.clip_id AND b.t = a.t AND b.i - a.i BETWEEN 0 AND 15 GROUP BY 1, 2, 3),
+ru AS (SELECT *, sum(d) OVER (PARTITION BY clip_id, t ORDER BY k) AS r FROM df),
+cm AS (SELECT clip_id, t, k, CASE WHEN k > 0 AND r > 0 THEN d * k / r ELSE 1 END AS x FROM ru),
+nb AS (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b FROM cm WINDOW w AS (PARTITION BY clip_id, t ORDER BY k)),
+dip AS (SELECT clip_id, t, arg_min(k + 0.5 * (a - b) / (a - 2 * x + b), k) AS lag FROM nb WHERE k BETWEEN 2 AND 14 AND x < 0.5 AND x < b GROUP BY 1, 2)
+SELECT g.clip_id, g.t, CASE WHEN len >= 16 AND lag > 0 AND {SR} / lag BETWEEN 50 AND 400 THEN round({SR} / lag, 4) + 0.0 ELSE 0.0 END AS f0 FROM g LEFT JOIN dip ON dip.clip_id = g.clip_id AND dip.t = g.t""",
+)(lambda s, d: kernel.yin(adapters.signals(samples(s, d, True), SR), frame_length=32, hop_length=8, fmin=50.0, fmax=400.0, threshold=0.5).select("clip_id", "t", F.get("v", F.lit(0)).alias("f0")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
