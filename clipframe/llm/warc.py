@@ -5,7 +5,8 @@ An archive is two Parquet tables in one folder:
 * ``payloads`` (content string, payload binary): each distinct payload once, named by its SHA-256;
 * ``headers`` (record_no, header binary, content): the exact WARC/1.1 header block of each record, without payload.
 
-Null html is an empty payload, a null url an empty one.  Payloads of at least ``least_bytes`` that are equal have
+Null html is an empty payload, a null url an empty one; control characters of a url are escaped.  Payloads may be of any
+length; an empty table gives an empty archive.  Payloads of at least ``least_bytes`` that are equal have
 one response, that with the largest page id (null ids are the smallest; equal ids: the last read); the others
 are revisits.  Rows that are wholly equal are records of their own.  Other columns aren't archived.
 """
@@ -26,21 +27,31 @@ def _digests(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     return p.withColumns({"record_no": F.monotonically_increasing_id(), "payload_bytes": F.octet_length("payload").cast("bigint"), "sha1": F.sha1("payload"), "content": F.sha2("payload", 256)})
 
 
+def one_line(url: Column) -> Column:
+    """An address with its control characters as %00 to %1F, so that it ends no header line."""
+    escaped = url
+    for i in range(32):
+        escaped = F.replace(escaped, F.lit(chr(i)), F.lit(f"%{i:02X}"))
+    return F.when(url.rlike(r"[\x00-\x1f]"), escaped).otherwise(url)
+
+
 def _header(date: str) -> Column:
     """Header block of a record: WARC/1.1 fields, each line ended by CRLF, then an empty line."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
+    record_id = lambda n: F.concat(F.lit("<urn:clipframe:"), n.cast("string"), F.lit(">"))
     revisit = F.col("record_type") == "revisit"
     return F.encode(
         F.concat(
             F.lit(f"WARC/1.1{CRLF}"),
             line("WARC-Type", F.col("record_type")),
-            line("WARC-Record-ID", F.concat(F.lit("<urn:clipframe:"), F.col("record_no").cast("string"), F.lit(">"))),
+            line("WARC-Record-ID", record_id(F.col("record_no"))),
             line("WARC-Date", F.lit(date)),
-            line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x1f]", "")),
+            line("WARC-Target-URI", one_line(F.col("url"))),
             F.when(F.col("page_id").isNotNull(), line("X-Page-ID", F.col("page_id").cast("string"))).otherwise(""),
             line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
             F.when(revisit, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(""),
-            F.when(revisit & F.col("refers_to").isNotNull(), line("WARC-Refers-To", F.concat(F.lit("<page:"), F.col("refers_to").cast("string"), F.lit(">")))).otherwise(""),
+            F.when(revisit & F.col("refers_to").isNotNull(), line("X-Refers-To-Page-ID", F.col("refers_to").cast("string"))).otherwise(""),
+            F.when(revisit, line("WARC-Refers-To", record_id(F.col("best_no")))).otherwise(line("Content-Type", F.lit("text/html; charset=utf-8"))),
             line("X-Payload-Length", F.col("payload_bytes").cast("string")),
             line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
             F.lit(CRLF),
@@ -95,7 +106,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         _field("WARC-Type").alias("record_type"),
         _field("X-Page-ID").cast("bigint").alias("page_id"),
         _field("WARC-Target-URI").alias("url"),
-        _field("WARC-Refers-To", "<page:([^>]*)>").cast("bigint").alias("refers_to"),
+        _field("X-Refers-To-Page-ID").cast("bigint").alias("refers_to"),
     )
     return headers.join(payloads, "content").select("record_no", "record_type", "page_id", "url", "refers_to", "header", "payload", "payload_bytes", "payload_digest")
 
@@ -104,3 +115,13 @@ def warc_bytes(records: DataFrame) -> DataFrame:
     """Records as they stand in a WARC file: header, payload (none in a revisit), two line ends."""
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
     return records.select("record_no", F.concat("header", body, F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"))
+
+
+def write_files(records: DataFrame, path: str, compression: str = "gzip") -> str:
+    """WARC files of these records: each file is a run of whole records, one after another, as readers of WARC take them.
+
+    The text writer ends every record with the two line ends that the format asks for.
+    """
+    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
+    records.select(F.concat("header", body).cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
+    return path
