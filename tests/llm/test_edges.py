@@ -87,7 +87,7 @@ def test_defined_results(spark):
     assert by[5]["n_removed"] == by[5]["n_bytes"] and by[1]["n_removed"] == 0
 
 
-PAGES = [(1, "u", "x" * 2000), (2, "u", "x" * 2000), (2, "v", "x" * 2000), (3, None, None), (None, "u", "short"), (5, "a\r\nX: b", "short"), (6, "u", "é" * 500)]
+PAGES = [(1, "u", "x" * 2000), (2, "u", "x" * 2000), (2, "v", "x" * 2000), (3, None, None), (None, "u", "short"), (5, "a\r\nX: b\0", "short"), (6, "u", "é" * 500)]
 
 
 def test_warc(spark, tmp_path):
@@ -130,3 +130,31 @@ def test_cascade_names_the_same_rule_again(spark):
     d = docs(spark).repartition(3)
     orders = {tuple(r.name for r in quality.ordered(d, quality.base_rules() + quality.further_rules())) for _ in range(3)}
     assert len(orders) == 1
+
+
+def test_warc_files_are_read_by_the_format(spark, tmp_path):
+    """A plain reader of the format: header lines up to an empty one, Content-Length bytes, two line ends."""
+    import gzip
+
+    path = warc.write_archive(spark.createDataFrame(PAGES, "page_id long, url string, html string"), str(tmp_path / "archive"))
+    warc.write_files(warc.read_archive(spark, path), str(tmp_path / "files"))
+    found = []
+    for f in sorted((tmp_path / "files").glob("part-*.gz")):
+        data = gzip.decompress(f.read_bytes())
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            assert lines[0] == "WARC/1.1"
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            n = int(fields["Content-Length"])
+            assert rest[n : n + 4] == b"\r\n\r\n"
+            found.append((fields, rest[:n]))
+            data = rest[n + 4 :]
+    ids = {f["WARC-Record-ID"] for f, _ in found}
+    assert len(found) == len(ids) == len(PAGES)
+    revisits = [f for f, _ in found if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 2 and {f["WARC-Refers-To"] for f in revisits} < ids
+    of = {f["WARC-Record-ID"]: b for f, b in found}
+    assert all(len(of[f["WARC-Refers-To"]]) == int(f["X-Payload-Length"]) for f in revisits)
+    assert sorted(b for f, b in found if f["WARC-Type"] == "response") == sorted([b"x" * 2000, b"", b"short", b"short", "é".encode() * 500])
+    assert {f["WARC-Target-URI"] for f, _ in found} == {"u", "v", "", "a%0D%0AX: b%00"}
