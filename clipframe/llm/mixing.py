@@ -99,8 +99,11 @@ def mix(
     # wholly equal are counted before they are sorted
     mark = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
     small = goals.select(F.col("source").alias("__s"), "source_size", "target", "epochs", "rest", F.col("end.slot").alias("end_slot"), F.col("end.before").alias("end_before"))
-    edge = own.select(F.col("__source"), F.struct(F.col("__key").alias("__key"), F.col(id_col).alias("__id"), mark.alias("__mark")).alias("at"), "__size", slot.alias("slot"))
-    edge = edge.join(F.broadcast(small) if _few(goals) else small, F.expr("__source <=> __s AND slot = end_slot")).where("__size > 0")
+    at = F.struct(F.col("__key").alias("__key"), F.col(id_col).alias("__id"), mark.alias("__mark"))
+    few = _few(goals)  # then words are counted behind the join, only in the last slots
+    edge = own.select("__source", at.alias("at"), (text if few else F.col("__size")).alias("__size"), slot.alias("slot"))
+    edge = edge.join(F.broadcast(small) if few else small, F.expr("__source <=> __s AND slot = end_slot"))
+    edge = (edge.withColumn("__size", common.n_words(F.col("__size"))) if few else edge).where("__size > least(0, epochs)")  # over 0, said so that it isn't moved before the join
     edge = edge.groupBy("__source", "at", "__size", "rest", "end_before").agg(F.count("*").alias("copies"))
     before = Window.partitionBy("__source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     upto = F.col("end_before") + F.coalesce(F.sum(F.col("__size") * F.col("copies")).over(before), F.lit(0))
@@ -114,7 +117,6 @@ def mix(
     small = small.toDF(*[c if c.startswith("__") else f"__{c}" for c in small.columns])  # apart from any column of docs
     out = own.withColumn("__slot", slot)
     out = out.join(F.broadcast(small) if _few(small) else small, F.expr("__source <=> __s"), "left")
-    at = F.struct(F.col("__key").alias("__key"), F.col(id_col).alias("__id"), mark.alias("__mark"))
     cut = (F.col("__slot") == F.col("__end_slot")) & (F.col("__size") > 0) & F.coalesce(at == F.col("__last"), F.lit(False))
     chosen = F.when(F.col("__end_slot").isNull(), F.col("__rest") > 0).otherwise((F.col("__slot") < F.col("__end_slot")) | ((F.col("__slot") == F.col("__end_slot")) & F.coalesce(at <= F.col("__last"), F.lit(False))))
     out = out.withColumn("__chosen", chosen)
