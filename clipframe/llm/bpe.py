@@ -3,7 +3,8 @@
 The distinct pieces of a slice of texts become rows (word, position, token); a recursive query joins neighbours
 with the merge table and contracts each word's leftmost pair of least rank until no word changes.  Ids are decoded
 by an ordered aggregation over (document, position) rows joined with the vocabulary.  Null texts are empty and have
-no ids; rows are encoded one by one, so repeated rows have equal results.
+no ids; rows are encoded one by one, so repeated rows and null ids have results of their own, and texts of any length
+are encoded whole.  Empty tables give empty tables; extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Line dedup: two Bloom filters for once-seen and twice-seen hashes find suspected repeats, which are then confirmed exactly.
 
 Null texts are one empty line.  Rows with the same doc_id count as one document; a null doc_id counts
-as the largest id.  Extra columns are kept, but for any with the name of a result.  Empty tables give empty tables.
+as the largest id.  Texts and lines may be of any length; repeated rows have equal results.  Extra columns are kept, but
+for any with the name of a result.  Empty tables give empty tables.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ fingerprint keeps the least name in each of SLOTS classes of the names of two le
 estimates the Jaccard likeness of the sets of phrases.
 
 Null texts are empty; all empty texts have one fingerprint.  Order is by descending doc_id, null ids last, rows with
-equal ids by text; a table of one row is its own next document.
+equal ids by text; a table of one row is its own next document.  Texts of any length are parsed whole; repeated rows have
+equal fingerprints.  An empty table gives an empty table; extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Sorting the suffixes at all byte positions would move each text hundreds of time
 4. The repeated starts of a document become covered byte ranges, which are cut out.
 
 Texts are UTF-8 bytes, null is empty; strings never cross documents.  Rows with one doc_id are documents of their own
-(rows are named by id and text; rows equal in both repeat each other).  Empty tables give empty tables.
+(rows are named by id and text; rows equal in both repeat each other); null ids are like any other.  Texts may be of any
+length.  Empty tables give empty tables; extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations

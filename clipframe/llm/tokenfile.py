@@ -3,7 +3,9 @@
 A file set is a Parquet folder with a row for each shard: the range of documents, the ids and lengths of the
 documents in it, and the grammar of their ids (see repair.py).  Shards are written by Spark's committer, so a lost
 executor leaves no partial shard.  Null texts are empty documents: their only id is the end id.  Documents stand in
-ascending doc_id order, null ids first; rows with equal ids stay documents of their own, by text.
+ascending doc_id order, null ids first; rows with equal ids stay documents of their own, by text.  A text of any length
+is encoded whole and lies in one shard.  An empty table gives files without shards, which read back as an empty table;
+extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations
