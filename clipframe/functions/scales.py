@@ -61,8 +61,10 @@ def octs_to_hz(o: Column, tuning: float = 0.0, bins_per_octave: int = 12) -> Col
     return F.lit(_c0(tuning, bins_per_octave)) * F.pow(F.lit(2.0), o)
 
 
-def hz_to_midi(f: Column) -> Column:
-    return _positive(f, F.lit(12.0) * F.log2(f / F.lit(440.0)) + F.lit(69.0), 0.0)
+def hz_to_midi(f: Column, guard: bool = True) -> Column:
+    """0 at zero and below; without ``guard`` the bare formula (-inf and NaN)."""
+    midi = F.lit(12.0) * _log2(f / F.lit(440.0)) + F.lit(69.0)
+    return _positive(f, midi, 0.0) if guard else midi
 
 
 def midi_to_hz(m: Column) -> Column:
@@ -138,8 +140,10 @@ def c_weighting(f: Column, min_db: float = -80.0) -> Column:
     return _floor(f, _abc(f, "C"), min_db)
 
 
-def d_weighting(f: Column, min_db: float = -80.0) -> Column:
-    return _floor(f, F.lit(20.0) * F.log10(_d_shape(f) / F.lit(D_UNIT)), min_db)
+def d_weighting(f: Column, min_db: float = -80.0, guard: bool = True) -> Column:
+    """``min_db`` at zero and below; without ``guard`` the formula there too (-32.2 at zero), floored like the rest."""
+    db = F.lit(20.0) * F.log10(_d_shape(f) / F.lit(D_UNIT))
+    return _floor(f, db, min_db) if guard else F.greatest(db, F.lit(min_db))
 
 
 def z_weighting(f: Column) -> Column:
