@@ -145,12 +145,19 @@ def localmin_2d(feat: DataFrame, axis: str = "t") -> DataFrame:
 
 
 def peak_candidates(samples: DataFrame, pre_max: int, post_max: int, pre_avg: int, post_avg: int, delta: float) -> DataFrame:
-    """(clip_id, n) of strict maxima of their window that exceed the mean of their neighbours by delta (no waiting)."""
+    """(clip_id, n) of strict maxima of their window that exceed the mean of their neighbours by delta (no waiting).
+
+    The neighbours alone are summed one by one from the last to the first, as the SQL's join does, so that a value which
+    exceeds the mean by exactly delta passes on both sides.
+    """
     order = Window.partitionBy("clip_id").orderBy("n")
     others = [F.max("y").over(order.rowsBetween(a, b)) for a, b in ((-pre_max, -1), (1, post_max)) if a <= b]
     around = order.rowsBetween(-pre_avg, post_avg)
     n = F.count("y").over(around) - 1
-    mean = F.when(n > 0, (F.sum("y").over(around) - F.col("y")) / n).otherwise(0.0)
+    total = F.lit(0.0)
+    for k in [k for k in range(post_avg, -pre_avg - 1, -1) if k]:
+        total = total + F.coalesce(F.lead("y", k).over(order), F.lit(0.0))
+    mean = F.when(n > 0, total / n).otherwise(0.0)
     top = F.greatest(*others, F.lit(float("-inf")).cast("double")) if len(others) > 1 else F.coalesce(*others, F.lit(float("-inf")))
     c = samples.withColumn("others", top).withColumn("mean", mean)
     return c.where((F.col("y") > F.col("others")) & (F.col("y") >= F.col("mean") + F.lit(delta))).select("clip_id", "n")
