@@ -36,9 +36,9 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
-def _frames(clip: int, m: np.ndarray) -> dict:
+def _frames(clip: int, m: np.ndarray, start: int = 0) -> dict:
     n = m.shape[1]
-    return {"clip_id": pa.array(np.full(n, clip)), "t": pa.array(np.arange(n)), "v": _lists(m.T)}
+    return {"clip_id": pa.array(np.full(n, clip)), "t": pa.array(np.arange(start, start + n)), "v": _lists(m.T)}
 
 
 def _spectrum(clip: int, m: np.ndarray) -> dict:
@@ -79,13 +79,19 @@ def over_signals(signals: DataFrame, fn: Callable, kind: str, permissive: bool =
 
 
 def over_matrices(matrices: DataFrame, fn: Callable, kind: str = "frames") -> DataFrame:
-    """``fn(matrix)`` of each clip's matrix(clip_id, n_rows, v)."""
+    """``fn(matrix)`` of each clip's matrix(clip_id, n_rows, v); frames may come as an iterator of strips of columns."""
     make, schema = _MAKERS[kind]
 
     def run(batches):
         for b in batches:
             for clip, n, v in zip(b.column("clip_id").to_pylist(), b.column("n_rows").to_pylist(), _vectors(b.column("v"))):
-                yield pa.RecordBatch.from_pydict(make(clip, fn(v.reshape(n, -1))))
+                out, at = fn(v.reshape(n, -1)), 0
+                if not isinstance(out, Iterator):
+                    yield pa.RecordBatch.from_pydict(make(clip, out))
+                    continue
+                for strip in out:
+                    yield pa.RecordBatch.from_pydict(make(clip, strip, at))
+                    at += strip.shape[1]
 
     return matrices.select("clip_id", "n_rows", "v").mapInArrow(run, schema)
 
