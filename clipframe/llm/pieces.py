@@ -22,9 +22,14 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SETTLED = ((0x0, 0x24F), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x4E00, 0x9FA5))
 LETTER, NUMBER, OTHER, SPACE, UNSETTLED = range(5)
 #: Bytes of distinct pieces, with what Python and the tables take for each, that a worker remembers before it starts
-#: afresh: some 700,000 words.
+#: afresh: some 1,300,000 words of up to KEY_BYTES, or 700,000 longer ones.
 REMEMBERED_BYTES = 160_000_000
 PIECE_BYTES = 200
+#: Bytes of a piece that fit its key, and what the tables take for such a piece without its ids.
+KEY_BYTES = 15
+KEY_COST = 80
+_BELOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are put together at a time; a text is never cut.
 SLICE_BYTES = 2_000_000
 
@@ -100,15 +105,32 @@ def rank_file(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def keys(pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first eight bytes, the next seven with the length above them, length) of each piece: up to KEY_BYTES they name it."""
+    ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+    begin, size = ends[:-1] - ends[0], np.diff(ends)
+    data = pieces.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() + bytes(16)
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes at every place
+    return eight[begin] & _BELOW[np.minimum(size, 8)], eight[begin + 8 * (size > 8)] & _BELOW[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56), size
+
+
 class PieceTable:
-    """Ids of the distinct pieces seen so far: one flat array, and where each piece starts in it."""
+    """Ids of the distinct pieces seen so far: one flat array, and where each piece starts in it.
+
+    Pieces of up to KEY_BYTES are found by their keys in a table of slots, all at once; a key is the whole piece, so
+    nothing is decided by a hash.  Longer pieces are in a dict.
+    """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.known = 0
+        self.long: dict[str, int] = {}
+        self.slots = np.full(1 << 15, -1, np.int32)
+        self.low = np.zeros(1 << 14, np.uint64)
+        self.high = np.zeros(1 << 14, np.uint64)
         self.bytes = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int32)
@@ -122,32 +144,94 @@ class PieceTable:
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def rows(self, pieces: list[str]) -> np.ndarray:
-        """Row of each of these distinct pieces; unknown pieces are encoded together."""
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ (high * _MIX)) * _MIX
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        return (h >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where it is unknown."""
+        slot = self._slot(low, high)
+        out = self.slots[slot]
+        at = np.flatnonzero((self.low[out] != low) | (self.high[out] != high))
+        at = at[out[at] >= 0]
+        while len(at):  # another key has the slot: look into the next
+            slot[at] = (slot[at] + 1) & (len(self.slots) - 1)
+            out[at] = row = self.slots[slot[at]]
+            at = at[(row >= 0) & ((self.low[row] != low[at]) | (self.high[row] != high[at]))]
+        return out
+
+    def _place(self, rows: np.ndarray) -> None:
+        """Give these rows slots."""
+        slot = self._slot(self.low[rows], self.high[rows])
+        while len(rows):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = rows[free]
+            left = self.slots[slot] != rows
+            rows, slot = rows[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def _add(self, new: list[str], cost: int) -> np.ndarray:
+        """Encode unknown pieces together; their rows."""
+        ids, lens = self.encode(new)
+        n = self.known
+        self.known += len(new)
+        for name in ("start", "size", "low", "high"):
+            self._grow(name, self.known)
+        self._grow("flat", self.used + len(ids))
+        self.size[n : self.known] = lens
+        self.start[n : self.known] = self.used + np.cumsum(lens) - lens
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.bytes += cost * len(new) + 8 * len(ids)
+        return np.arange(n, self.known, dtype=np.int32)
+
+    def _short_rows(self, pieces: pa.StringArray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        out = self._find(low, high)
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            at = at[np.lexsort((low[at], high[at]))]
+            new = np.ones(len(at), np.bool_)
+            new[1:] = (low[at[1:]] != low[at[:-1]]) | (high[at[1:]] != high[at[:-1]])
+            rows = self._add(pieces.take(pa.array(at[new])).to_pylist(), KEY_COST)
+            self.low[rows], self.high[rows] = low[at[new]], high[at[new]]
+            if 2 * self.known > len(self.slots):
+                self.slots = np.full(1 << (2 * self.known).bit_length(), -1, np.int32)
+                rows_of_keys = np.flatnonzero(self.high[: self.known]).astype(np.int32)
+                self._place(rows_of_keys)
+            else:
+                self._place(rows)
+            out[at] = rows[np.cumsum(new) - 1]
+        return out
+
+    def _long_rows(self, pieces: pa.StringArray) -> np.ndarray:
+        coded = pieces.dictionary_encode()
+        found = coded.dictionary.to_pylist()
+        new = [p for p in found if p not in self.long]
+        if new:
+            self.long.update(zip(new, self._add(new, PIECE_BYTES).tolist()))
+            self.bytes += sum(map(len, new))
+        return np.fromiter(map(self.long.__getitem__, found), np.int32, len(found))[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def rows(self, pieces: pa.StringArray) -> np.ndarray:
+        """Row of each of these pieces; unknown pieces are encoded together."""
         if self.bytes > REMEMBERED_BYTES:
             self.clear()
-        number = self.number
-        new = [p for p in pieces if p not in number]
-        if new:
-            ids, lens = self.encode(new)
-            n = len(number)
-            self._grow("start", n + len(new))
-            self._grow("size", n + len(new))
-            self._grow("flat", self.used + len(ids))
-            self.size[n : n + len(new)] = lens
-            self.start[n : n + len(new)] = self.used + np.cumsum(lens) - lens
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.bytes += sum(map(len, new)) + PIECE_BYTES * len(new) + 4 * len(ids)
-            number.update(zip(new, range(n, n + len(new))))
-        return np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces))
+        low, high, size = keys(pieces)
+        long = size > KEY_BYTES
+        if not long.any():
+            return self._short_rows(pieces, low, high)
+        out = np.zeros(len(pieces), np.int32)
+        at = np.flatnonzero(long)
+        out[at] = self._long_rows(pieces.take(pa.array(at)))
+        at = np.flatnonzero(~long)
+        out[at] = self._short_rows(pieces.take(pa.array(at)), low[at], high[at])
+        return out
 
     def ids(self, pieces: pa.StringArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text) for texts of ``counts`` pieces each."""
         if not len(pieces):
             return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
-        coded = pieces.dictionary_encode()
-        row = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        row = self.rows(pieces)
         size = self.size[row]
         ends = np.zeros(len(row) + 1, np.int32 if len(row) < 1 << 24 else np.int64)
         np.cumsum(size, out=ends[1:])

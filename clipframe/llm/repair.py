@@ -30,8 +30,8 @@ class Grammar:
         out[rule] = self.lengths[symbols[rule] - self.base]
         return out
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All ids that these symbols stand for."""
+    def _unrolled(self, symbols: np.ndarray) -> np.ndarray:
+        """All ids that these symbols stand for, each symbol on its own."""
         while len(symbols) and (rule := symbols >= self.base).any():
             size = np.where(rule, 2, 1)
             at = np.cumsum(size) - size
@@ -42,6 +42,27 @@ class Grammar:
             symbols = out
         return symbols
 
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """All ids that these symbols stand for: each distinct rule is unrolled once and gathered where it is used."""
+        at = np.flatnonzero(symbols >= self.base)
+        if not len(at):
+            return symbols
+        rule = symbols[at] - np.uint32(self.base)
+        used = np.zeros(len(self.rules), np.bool_)
+        used[rule] = True
+        used = np.flatnonzero(used)
+        size = self.lengths[used]
+        begin = np.zeros(len(self.rules), np.int64)
+        begin[used] = np.cumsum(size) - size
+        n = int(size.sum())
+        start, size = np.arange(n, n + len(symbols)), np.ones(len(symbols), np.int64)
+        start[at], size[at] = begin[rule], self.lengths[rule]
+        ends = np.cumsum(size)
+        kind = np.int32 if max(n + len(symbols), ends[-1]) < 1 << 31 else np.int64
+        place = np.repeat((start - ends + size).astype(kind), size)
+        place += np.arange(ends[-1], dtype=kind)
+        return np.concatenate([self._unrolled((used + self.base).astype(np.uint32)), symbols])[place]
+
     def decode(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the shard: only the symbols that cover them are expanded."""
         if stop <= start:
@@ -70,13 +91,13 @@ def _frequent(pair: np.ndarray, bits: int, most: int, least: int) -> tuple[np.nd
     mixer = pair.dtype.type(0x9E3779B1 if bits == 32 else 0x9E3779B97F4A7C15)
     cell_bits = max(12, most.bit_length(), min(CELL_BITS, len(pair).bit_length()))
     shift = pair.dtype.type(bits - cell_bits)
-    cell = ((pair * mixer) >> shift).astype(np.int32)
+    cell = ((pair * mixer) >> shift).astype(np.intp)
     in_cell = np.bincount(cell, minlength=1 << cell_bits)
-    open_ = (in_cell >= least)[cell]
+    open_ = (in_cell >= least).take(cell)
     bound = max(least, _least_of_top(in_cell, most))
     while True:
-        at = np.flatnonzero((in_cell >= bound)[cell])
-        held = np.sort(pair[at])
+        at = np.flatnonzero((in_cell >= bound).take(cell))
+        held = np.sort(pair.take(at))
         first = np.flatnonzero(np.concatenate([np.ones(min(len(held), 1), np.bool_), held[1:] != held[:-1]]))
         count = np.diff(np.append(first, len(held)))
         # a pair that is more frequent than the last of these is in a cell that reaches its count
@@ -89,11 +110,20 @@ def _frequent(pair: np.ndarray, bits: int, most: int, least: int) -> tuple[np.nd
     pairs = held[first[chosen]]
     if not len(pairs):
         return pairs, at, at, open_
-    hot = np.zeros(1 << cell_bits, np.bool_)
-    hot[((pairs * mixer) >> shift).astype(np.int32)] = True
-    at = at[hot[cell[at]]]
-    own = np.minimum(np.searchsorted(pairs, pair[at]), len(pairs) - 1)
-    return pairs, at, np.where(pairs[own] == pair[at], own, -1), open_
+    slot = ((pairs * mixer) >> shift).astype(np.intp)
+    number = np.full(1 << cell_bits, -1, np.int32)
+    number[slot] = np.arange(len(pairs), dtype=np.int32)
+    shared = np.zeros(1 << cell_bits, np.bool_)
+    shared[np.flatnonzero(np.bincount(slot) > 1)] = True
+    own = number.take(cell.take(at))
+    kept = own >= 0
+    at, own = np.compress(kept, at), np.compress(kept, own)
+    other = np.flatnonzero(pairs.take(own) != pair.take(at))
+    there = other[shared[cell[at[other]]]]  # two of these pairs are in the cell: look for the other
+    own[other] = -1
+    found = np.minimum(np.searchsorted(pairs, pair[at[there]]), len(pairs) - 1)
+    own[there] = np.where(pairs[found] == pair[at[there]], found, -1)
+    return pairs, at, own, open_
 
 
 def compress(ids: np.ndarray, base: int, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> Grammar:
@@ -112,27 +142,30 @@ def compress(ids: np.ndarray, base: int, rules_a_round: int = RULES_A_ROUND, lea
         symbol, wide, half = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
         seq = seq.astype(symbol, copy=False)
         places = np.flatnonzero(live[:-1]).astype(np.int32 if len(seq) < 1 << 31 else np.int64)
-        pair = (seq[places].astype(wide) << wide(half)) | seq[places + 1]
+        pair = (seq.take(places).astype(wide) << wide(half)) | seq.take(places + 1)
         pairs, at, own, open_ = _frequent(pair, 2 * half, rules_a_round, least)
         if not len(pairs):
             break
-        live[places[~open_]] = False
-        at, own = places[at[own >= 0]], own[own >= 0]
+        live[np.compress(~open_, places)] = False
+        held = own >= 0
+        at, own = places.take(np.compress(held, at)), np.compress(held, own)
         first = np.ones(len(at), np.bool_)  # of a run of overlapping pairs, every second is replaced
         first[1:] = np.diff(at) != 1
-        run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        kept = (np.arange(len(at)) - run) % 2 == 0
-        at, own = at[kept], own[kept]
-        used, own = np.unique(own, return_inverse=True)  # a pair that others overlap everywhere needs no rule
+        place = np.arange(len(at), dtype=places.dtype)
+        kept = (place - np.maximum.accumulate(np.where(first, place, 0))) & 1 == 0
+        at, own = np.compress(kept, at), np.compress(kept, own)
+        seen = np.bincount(own, minlength=len(pairs)) > 0  # a pair that others overlap everywhere needs no rule
+        used, own = np.flatnonzero(seen), (np.cumsum(seen) - 1)[own]
         new = np.stack([pairs[used] >> wide(half), pairs[used] & wide((1 << half) - 1)], 1).astype(np.uint32)
         grammar = Grammar(base, np.zeros((0, 2), np.uint32), lengths, seq)
         lengths = np.concatenate([lengths, grammar.symbol_lengths(new[:, 0]) + grammar.symbol_lengths(new[:, 1])])
         keep = np.ones(len(seq), np.bool_)
         keep[at + 1] = False
         seq[at] = own + top
-        seq = seq[keep]
+        picked = np.compress if len(at) > len(seq) // 16 else lambda keep, x: x[keep]  # the faster one for many or few gaps
+        seq = picked(keep, seq)
         live[at] = live[np.maximum(at - 1, 0)] = True
-        live = live[keep]
+        live = picked(keep, live)
         rules.append(new)
         top += len(new)
     return Grammar(base, np.concatenate(rules), lengths, seq.astype(np.uint32))

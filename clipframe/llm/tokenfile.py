@@ -11,6 +11,7 @@ extra columns play no part, whatever their names.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 
 import numpy as np
@@ -23,8 +24,6 @@ from . import common, pieces, repair
 
 #: Ids in a shard: a shard is compressed and decoded in memory.
 SHARD_IDS = 2_000_000
-#: Stands between pieces that are encoded together; texts that hold it are encoded on their own.
-BETWEEN = "\ue000"
 #: Places of shards that may be broadcast: 24 MB.
 FEW_SHARDS = 1_000_000
 SHARD_SCHEMA = "part int, shard int, doc_ids array<long>, n_tokens array<long>, ids long, grammar binary"
@@ -40,21 +39,24 @@ def _tokenizer(path: str, added: bool = False):
 
 
 @functools.cache
-def piece_table(path: str) -> pieces.PieceTable:
-    """Pieces are encoded by the library together: split at BETWEEN, which no piece holds, and otherwise left whole."""
-    from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte of UTF-8 in the vocabulary, and a space for 0xFF, which no text holds."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    chars = [chr(c) for r in (range(0x800), range(0x800, 0xD800, 0x400), range(0xE000, 0x10000, 0x400), range(0x10000, 0x110000, 0x10000)) for c in r]
+    return {0xFF: " "} | {b: letter for c in chars for b, letter in zip(c.encode(), level.pre_tokenize_str(c)[0][0])}
+
 
-    t = _tokenizer(path)
-    t.pre_tokenizer = Sequence([Split(BETWEEN, "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+@functools.cache
+def piece_table(path: str) -> pieces.PieceTable:
+    """Pieces are encoded by the library's model one by one, in the letters of their bytes."""
+    tokenize, letters = _tokenizer(path).model.tokenize, byte_letters()
 
     def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, lens = [], []
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            e = t.encode(BETWEEN.join(part), add_special_tokens=False)
-            ids.append(np.array(e.ids, np.uint32))
-            lens.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
-        return np.concatenate(ids), np.concatenate(lens)
+        spelled = b"\xff".join([p.encode() for p in new]).decode("latin-1").translate(letters).split(" ")
+        found = [[t.id for t in tokenize(p)] for p in spelled]
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     return pieces.PieceTable(encode)
 

@@ -34,3 +34,14 @@ def test_most_frequent_pairs(wide, half):
     assert sorted(want) == pairs.tolist()
     assert open_[[count[p] >= 8 for p in pair.tolist()]].all()
     assert (pairs[own[own >= 0]] == pair[at[own >= 0]]).all() and (own >= 0).sum() == sum(count[p] for p in want)
+
+
+def test_a_rule_is_unrolled_once(monkeypatch):
+    ids = np.tile(zipf(2000, 50_000), 50)
+    g = repair.compress(ids, 50_257, rules_a_round=16)
+    g.sequence = np.concatenate([g.sequence] * 20)
+    made, unrolled = [], repair.Grammar._unrolled
+    monkeypatch.setattr(repair.Grammar, "_unrolled", lambda self, symbols: made.append(out := unrolled(self, symbols)) or out)
+    assert (g.expand(g.sequence) == np.tile(ids, 20)).all()
+    assert sum(map(len, made)) <= len(ids)
+    assert (g.decode(777, 5000) == ids[777:5000]).all()
